@@ -206,9 +206,11 @@ def with_paths(tree: DataFrame, separator: str = "/") -> DataFrame:
         longer = F.when(F.col("tpath").isNull(), F.col("path")).otherwise(
             F.concat("tpath", F.lit(separator), "path")
         )
-        # Through a generator, as Catalyst would carry each round's expression on as a constraint.
-        step = F.inline(F.array(F.struct(F.col("tup").alias("up"), longer.alias("path"))))
-        state = cut(state.join(target, F.col("up") == F.col("tv"), "left").select("v", step))
+        state = cut(
+            state.join(target, F.col("up") == F.col("tv"), "left").select(
+                "v", F.col("tup").alias("up"), longer.alias("path")
+            )
+        )
     named = tree.select(F.col("v").alias("nv"), F.col("id").alias("top"))
     return (
         tree.join(state.select("v", "path"), "v", "left")

@@ -59,9 +59,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: ends lineage,
-    survives the loss of executors, and pins non-deterministic columns."""
+    survives the loss of executors, and pins non-deterministic columns.
+
+    A checkpoint keeps the optimizer's size estimate. Of a self join that is the
+    product of both sides, so a loop of joins would square it every round until
+    the number itself takes minutes to multiply. The rows are therefore wrapped
+    anew, without the estimate; AQE plans by the sizes it measures.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    rows = done._jdf.queryExecution().toRdd()
+    fresh = df.sparkSession._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False)
+    return DataFrame(fresh, df.sparkSession)
 
 
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
