@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from logweave.llm.conversations import conversation_verdicts, conversations, read_entries
 from logweave.llm.languages import label_segments, wrong_labels
 from logweave.llm.mixing import mix_sources
+from logweave.llm.pii import learn_names, mention_table, sanitised_table
 from logweave.llm.runs import canonical_text, collapse_runs
 from logweave.llm.tokens import count_tokens, encode_column
-from logweave.runtime import table
+from logweave.runtime import cut, table
 
 def _call_value():
     """Name and target in one spelling; null without a name or a target."""
@@ -28,6 +29,46 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select(F.col("entity").alias("transcript_id"), "first_seq", "last_seq")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(src, row_key, field, text)`` of every brief, result and message, each row of the tables once."""
+    agents = table(spark, sf_dir, "agents").select("agent_id", "brief", "result")
+    agents = agents.groupBy("agent_id", F.xxhash64("brief", "result").alias("h")).agg(
+        F.first("brief").alias("brief"), F.first("result").alias("result")
+    )
+    attention = table(spark, sf_dir, "attention").select("attention_id", "message")
+    attention = attention.groupBy("attention_id", F.xxhash64("message").alias("h")).agg(
+        F.first("message").alias("message")
+    )
+    wide = agents.select(
+        F.lit("agents").alias("src"), F.col("agent_id").alias("row_key"),
+        F.inline(F.array(
+            F.struct(F.lit("brief").alias("field"), F.col("brief").alias("text")),
+            F.struct(F.lit("result").alias("field"), F.col("result").alias("text")),
+        )),
+    ).unionByName(attention.select(
+        F.lit("attention").alias("src"), F.col("attention_id").cast("string").alias("row_key"),
+        F.lit("message").alias("field"), F.col("message").alias("text"),
+    ))
+    return cut(wide.where("text is not null"))
+
+
+def p2_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _texts(spark, sf_dir)
+    lexicon = learn_names(texts, "text", table(spark, sf_dir, "name_parts"))
+    return mention_table(texts, ["src", "row_key", "field"], "text", lexicon)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_mentions(spark, sf_dir).select("src", "row_key", "field", "pii_type", "occurrence")
+
+
+def p2_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with typed placeholders in the place of its mentions."""
+    texts = _texts(spark, sf_dir)
+    lexicon = learn_names(texts, "text", table(spark, sf_dir, "name_parts"))
+    return sanitised_table(texts, ["src", "row_key", "field"], "text", lexicon)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = conversation_verdicts(read_entries(table(spark, sf_dir, "entries")))
     return verdicts.where("reason is not null")
@@ -77,6 +118,9 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_runs": p1_runs,
+    "p2_found": p2_found,
+    "p2_mentions": p2_mentions,
+    "p2_sanitised": p2_sanitised,
     "p5_found": p5_found,
     "p5_conversations": p5_conversations,
     "p8_ids": p8_ids,
