@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from logweave.plans import core_problems
+from logweave.plans import call_queries, core_problems, session_queries, usage_queries
 
-_MODULES = (core_problems,)
+_MODULES = (core_problems, call_queries, usage_queries, session_queries)
 
 
 def queries() -> dict:

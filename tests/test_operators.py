@@ -1,0 +1,138 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from logweave.operators import asof, graph, latest, lineage, search, sequences, series, sweep
+
+
+def test_latest_first_and_upsert(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", None, "z"), ("a", 2, "w")], "k string, o int, v string")
+    assert {tuple(r) for r in latest.latest_by(df, ["k"], ["o", "v"], ["v"]).collect()} == {("a", "y"), ("b", "z")}
+    assert {tuple(r) for r in latest.first_by(df, ["k"], ["o"], ["v"]).collect()} == {("a", "x"), ("b", "z")}
+    old = spark.createDataFrame([("a", 1, 1, 5), ("b", 1, 1, 6)], "k string, first int, seen int, n int")
+    new = spark.createDataFrame([("a", 9, 9, 7), ("c", 3, 3, 8)], "k string, first int, seen int, n int")
+    got = latest.upsert(old, new, "k", "seen", "first", keep_rows=2)
+    assert [tuple(r) for r in got.collect()] == [("a", 1, 9, 7), ("c", 3, 3, 8)]
+
+
+def test_first_match_rule(spark):
+    df = spark.createDataFrame([("Opus-4",), ("haiku_x",), ("gpt",), (None,)], "m string")
+    rule = latest.first_match_rule(df, F.col("m"), [("opus*", 1), ("*", 2), ("haiku*", 3)], 0)
+    assert [r[0] for r in df.select(rule).collect()] == [1, 2, 2, 0]
+
+
+def test_repeats_cycles_and_turns(spark):
+    rows = [("t", i, v) for i, v in enumerate("abcc")] + [("u", i, v) for i, v in enumerate("xyxy")] + [("n", 0, None), ("n", 1, None)]
+    df = spark.createDataFrame(rows, "t string, o int, v string")
+    got = {(r["t"], r["value"], r["repeats"]) for r in sequences.trailing_repeat(df, ["t"], "o", F.col("v")).collect()}
+    assert ("t", "c", 2) in got and ("u", "y", 1) in got
+    assert [tuple(r) for r in sequences.two_cycle(df, ["t"], "o", F.col("v"), 4).collect()] == [("u", "x", "y")]
+    turns = sequences.split_turns(df, ["t"], ["o"], F.coalesce(F.col("v") == "c", F.lit(False))).where("t = 't'").orderBy("o")
+    assert [r["turn"] for r in turns.collect()] == [0, 0, 1, 2]
+    moves = sequences.transitions(df.where("t = 't'"), ["t"], ["o"], "v").orderBy("o").collect()
+    assert [(r["v"], r["was"]) for r in moves] == [("a", None), ("b", "a"), ("c", "b")]
+
+
+def naive_chains(calls, gap=3):
+    done = [c for c in calls if c[2] is not None]
+    used, out = set(), []
+    for i, (_, key, ok) in enumerate(done):
+        if i in used:
+            continue
+        chain, last = [i], i
+        if not ok:
+            for j in range(i + 1, len(done)):
+                if done[j][1] == key:
+                    if j - last > gap + 1:
+                        break
+                    chain.append(j)
+                    last = j
+                    if done[j][2]:
+                        break
+        if len(chain) > 1:
+            out.append((key, done[chain[0]][0], done[chain[-1]][0], len(chain), done[chain[-1]][2]))
+            used |= set(chain)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_retry_chains_against_a_loop(spark, seed):
+    rnd = random.Random(seed)
+    calls = [(i, rnd.choice("ab"), rnd.choice([True, False, False, None])) for i in range(60)]
+    df = spark.createDataFrame([("t", *c) for c in calls], "t string, o int, k string, ok boolean")
+    got = sequences.retry_chains(df, ["t"], "o", ["k"], "ok").select("k", "first_order", "last_order", "attempts", "worked")
+    assert sorted(map(tuple, got.collect())) == naive_chains(calls)
+
+
+def test_sweep(spark):
+    def one(spans):
+        df = spark.createDataFrame([("s", a, b) for a, b in spans], "k string, s long, e long")
+        r = sweep.concurrency(df, ["k"], "s", "e").collect()[0]
+        return r["peak"], r["busy"], r["wall"], r["solo"], r["idle"]
+
+    assert one([(0, 10), (5, 15), (5, 10)]) == (3, 25, 15, 10, 0)
+    assert one([(0, 10), (10, 20)])[0] == 1
+    assert one([(0, 10), (20, 30)])[4] == 10
+    df = spark.createDataFrame([("s", 0, 10, True), ("s", 5, 20, False)], "k string, s long, e long, c boolean")
+    r = sweep.time_split(df, ["k"], "s", "e", "c").collect()[0]
+    assert (r["first_s"], r["second_s"]) == (10, 10)
+
+
+def test_asof_windows_and_overlap(spark):
+    left = spark.createDataFrame([("a", 1, 10), ("a", 2, 20), ("b", 3, 5), ("a", 4, 30)], "k string, id int, t int")
+    right = spark.createDataFrame([("a", 10), ("a", 21), ("a", 30)], "k string, r int")
+    got = {r["id"]: r["next_at"] for r in asof.forward_asof(left, right, ["k"], "t", "r").collect()}
+    assert got == {1: 21, 2: 21, 3: None, 4: None}
+    windows = spark.createDataFrame([("a", 10, 1), ("a", 20, 2)], "k string, o int, n int")
+    got = {r["id"]: r["n"] for r in asof.window_join(left, windows, ["k"], "t", "o", "n").collect()}
+    assert got == {1: 1, 2: 2, 3: None, 4: 2}
+    a = spark.createDataFrame([("a", "w1", 0, 100), ("a", "w2", 95, 96)], "k string, w string, s long, e long")
+    b = spark.createDataFrame([("a", "r1", 10, 20), ("a", "r2", 15, 99), ("a", "r3", 200, 300)], "k string, r string, s long, e long")
+    got = {tuple(r) for r in asof.best_overlap(a, b, ["k"], "w", "r", "s", "e", 7).collect()}
+    assert got == {("a", "w1", "r2", 84), ("a", "w2", "r2", 1)}
+
+
+def test_series(spark):
+    df = spark.createDataFrame([("a", float(t), v) for t, v in [(0, 1), (5, 2), (10, 4)]] + [("b", 3.0, 7)], "k string, t double, v long")
+    got = {(r["k"], r["bin"]): r["running"] for r in series.cumulative_bins(df, ["k"], "t", F.col("v"), 4).collect()}
+    assert got[("a", 3)] == 7 and got[("a", 1)] == 1 and got[("a", 2)] == 3 and got[("b", 3)] == 7
+    r = {x["k"]: x for x in series.crossing(df, ["k"], ["t"], F.col("v"), {"x": 3, "y": 100}).collect()}
+    assert r["a"]["x"] == 5.0 and r["a"]["y"] is None
+    us = df.withColumn("us", F.col("t").cast("long"))
+    best = {x["k"]: (x["opened"], x["total"]) for x in series.peak_window(us, ["k"], "us", F.col("v"), 6).collect()}
+    assert best == {"a": (5, 6), "b": (3, 7)}
+    assert series.pace(us, ["k"], "us", F.col("v"), 5).where("k = 'a'").collect()[0][1:] == (4, 2)
+
+
+def test_graph(spark):
+    spans = spark.createDataFrame([("s", "a", 0, 10), ("s", "b", 10, 30), ("s", "c", 0, 25)], "k string, node string, start long, end long")
+    edges = spark.createDataFrame([("s", "a", "b")], "k string, src string, dst string")
+    got = {r["node"]: (r["score"], r["pred"]) for r in graph.critical_path(spans, edges, ["k"]).collect()}
+    assert got == {"a": (10, None), "b": (30, "a"), "c": (25, None)}
+    ranks = {r["node"]: r["rank"] for r in graph.rank_columns(spans, edges, ["k"]).collect()}
+    assert ranks == {"a": 0, "b": 1, "c": 0}
+
+
+def test_lineage(spark):
+    t = spark.createDataFrame([("s", "x", "f", 1.0, "w"), ("s", "y", "f", 2.0, "r"), ("s", "y", "g", 1.0, "r"), ("s", "x", "g", 2.0, "w"),
+                               ("s", "z", "h", 1.0, "r"), ("s", "z", None, 1.0, "r")], "s string, a string, p string, t double, k string")
+    w, r = F.col("k") == "w", F.col("k") == "r"
+    assert [tuple(x) for x in lineage.artifact_edges(t, ["s"], "a", "p", "t", w, r).collect()] == [("s", "x", "y", 1, "f")]
+    assert [x["p"] for x in lineage.hub_files(t, ["s"], "a", "p", w, r, 0).collect()] == ["h"]
+    assert lineage.write_conflicts(t, ["s"], "a", "p", w).count() == 0
+    texts = spark.createDataFrame([("s", "a", "one two three four five six seven eight nine", "x"), ("s", "b", None, "so one two three four five six seven eight nine ten")],
+                                  "s string, id string, res string, brief string")
+    got = lineage.containment(texts, texts, ["s"], "id", "id", "res", "brief", 8, 0.15).collect()
+    assert [r["score"] for r in got] == [1.0]
+    e = spark.createDataFrame([("s", "main", "x"), ("s", "y", "x"), ("s", "main", "z")], "s string, src string, dst string")
+    assert {(r["dst"], r["hidden"]) for r in lineage.without_fans(e, ["s"]).where("src = 'main'").collect()} == {("x", True), ("z", False)}
+    exact = e.withColumn("kind", F.lit("spawn"))
+    folded = lineage.fold_edges(exact, spark.createDataFrame([("s", "y", "x", 0.5), ("s", "q", "x", 0.9)], "s string, src string, dst string, score double"), ["s", "src", "dst"])
+    assert {(r["src"], r["kind"], r["score"]) for r in folded.where("score is not null").collect()} == {("y", "spawn", 0.5), ("q", "handoff", 0.9)}
+
+
+def test_search_terms(spark):
+    assert search.terms_of("x") == [] and search.terms_of("  Foo bar foo ") == ["foo", "bar"]
+    df = spark.createDataFrame([("Foo the bar",), ("foo",), (None,)], "t string")
+    assert df.where(search.matches(F.col("t"), "FOO bar")).count() == 1
