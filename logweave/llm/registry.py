@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.functions.paths import canonical_text
 from logweave.llm.conversations import conversation_verdicts, conversations, read_entries
 from logweave.llm.languages import label_segments, wrong_labels
 from logweave.llm.mixing import mix_sources
 from logweave.llm.pii import learn_names, mention_table, sanitised_table
-from logweave.llm.runs import canonical_text, collapse_runs
+from logweave.llm.runs import collapse_runs
 from logweave.llm.tokens import count_tokens, encode_column
 from logweave.runtime import cut, table
 

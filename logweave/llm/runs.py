@@ -19,39 +19,6 @@ from pyspark.sql import functions as F
 SHARD = 4096
 
 
-def canonical_text(column: Column) -> Column:
-    """Lower case, white space collapsed, and every path in one spelling.
-
-    Words with a slash or backslash are paths: separators become ``/``, empty and
-    ``.`` steps go, ``x/..`` goes, and so does a slash at the end. A leading slash
-    stays. Null if nothing is left.
-    """
-    flat = F.trim(F.regexp_replace(F.lower(column), r"(?U)\s+", " "))
-    word = lambda w: F.when(F.instr(w, "/") > 0, _canonical_path(w)).otherwise(w)
-    slashed = F.translate(flat, "\\", "/")
-    text = F.when(F.instr(slashed, "/") == 0, slashed).otherwise(
-        F.array_join(F.transform(F.split(slashed, " "), word), " ")
-    )
-    return F.when(F.length(text) > 0, text)
-
-
-def _canonical_path(word: Column) -> Column:
-    def step(kept: Column, part: Column) -> Column:
-        last = F.element_at(kept, -1)
-        climbs = (part == "..") & (F.size(kept) > 0) & F.coalesce(~last.isin("..", ""), F.lit(False))
-        return (
-            F.when((part == "") | (part == "."), kept)
-            .when(climbs, F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
-            .otherwise(F.concat(kept, F.array(part)))
-        )
-
-    # Long words are no paths; the fold copies its list at every step.
-    parts = F.split(word, "/")
-    start = F.when(word.startswith("/"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-    folded = F.array_join(F.aggregate(parts, start, step), "/")
-    return F.when(F.length(folded) > 0, folded).otherwise(F.when(word.startswith("/"), "/").otherwise("."))
-
-
 def _differences(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """``__run``: the row number less the row number within the value; constant along a run."""
     inside = F.row_number().over(W.partitionBy(*by).orderBy(*order))
