@@ -23,10 +23,10 @@ def earliest_deliveries(
     A hash aggregation per identifier takes ``min_by`` over a struct of delivery
     time and tie-break, so each map task hands on one row per message it saw: a
     message with a third of all deliveries costs one row per map task. A missing
-    time comes after every known one. Rows without an identifier have no copies
-    and are not part of this table.
+    time comes after every known one. Rows without an identifier or a tie-break
+    have no copies and are not part of this table.
     """
-    scoped = _identifier(df, keys, id_col).where(F.col("__id").isNotNull())
+    scoped = _identifier(df, keys, id_col).where(F.col("__id").isNotNull() & F.col(tie_col).isNotNull())
     when = F.struct(F.col(time_col).isNull().alias("late"), F.col(time_col), F.col(tie_col))
     scope = [F.col(f"__k{i}") for i in range(len(keys))]
     return scoped.groupBy(*scope, "__id").agg(
@@ -47,7 +47,7 @@ def surplus_deliveries(
     identifiers are equal without outer white space; a null or blank identifier
     equals none. ``tie_col`` must be unique per delivery and is the join key, so
     the anti join is spread evenly whatever the copies of one message number.
-    A row whose ``tie_col`` is null cannot be named and is never surplus.
+    A row whose ``tie_col`` is null cannot be named: it is compared with none and never surplus.
     An empty input gives an empty result; extra columns pass through.
     """
     kept = earliest_deliveries(df, keys, id_col, time_col, tie_col).select("__kept")

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logweave.functions.lines import is_object, parse_line
 from logweave.runtime import cut
 
 #: Profiles of two names agree within these bounds (ratio of means; difference of shares).
@@ -39,8 +40,8 @@ def _kind(schema: Column) -> Column:
 
 def parse_objects(df: DataFrame, raw: str) -> DataFrame:
     """``df`` with the line as ``__v`` (VARIANT), only lines that are JSON objects."""
-    parsed = df.withColumn("__v", F.expr(f"try_parse_json(`{raw}`)"))
-    return parsed.where(F.expr("schema_of_variant(__v) like 'OBJECT%'"))
+    parsed = df.withColumn("__v", parse_line(F.col(raw)))
+    return parsed.where(is_object(F.col("__v")))
 
 
 def _exploded(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -305,8 +306,8 @@ def consistent_table(
     stay in the table with null fields.
     """
     _, _, _, concept = field_model(df, raw, project, file_no, tracked)
-    out = df.select(*keep, F.expr(f"try_parse_json(`{raw}`)").alias("__v"))
-    out = out.withColumn("parsed", F.coalesce(F.expr("schema_of_variant(__v) like 'OBJECT%'"), F.lit(False)))
+    out = df.select(*keep, parse_line(F.col(raw)).alias("__v"))
+    out = out.withColumn("parsed", is_object(F.col("__v")))
     for name in tracked:
         spellings = [name] + sorted(a for a, c in concept.items() if c == name and a != name)
         got = F.coalesce(*[

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logweave.functions import text as T
+from logweave.functions.lines import is_object, parse_line
 from logweave.operators import asof, graph, intervals, latest, lineage, search, sequences, sweep
 from logweave.plans.core_problems import ROUND_SHARD, agent_key
 from logweave.plans.session_sql import ORACLES  # noqa: F401
@@ -190,7 +191,7 @@ def launches_in_turns(spark, d):
 
 def parsed(spark, d):
     e = table(spark, d, "entries")
-    return e.withColumn("j", F.try_parse_json("v")).withColumn("object", F.coalesce(F.schema_of_variant("j").startswith("OBJECT"), F.lit(False)))
+    return e.withColumn("j", parse_line(F.col("v"))).withColumn("object", is_object(F.col("j")))
 
 
 def _get(path, kind="string"):

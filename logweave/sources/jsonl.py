@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.functions.lines import is_object, parse_line
+
 
 def read_jsonl(spark: SparkSession, *paths: str) -> DataFrame:
     """``file, block, pos, line, v, ok`` of every whole line of some files or globs.
@@ -18,8 +20,8 @@ def read_jsonl(spark: SparkSession, *paths: str) -> DataFrame:
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"),
     ).where("line <> ''")
-    parsed = lines.withColumn("v", F.try_parse_json("line"))
-    return parsed.withColumn("ok", F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
+    parsed = lines.withColumn("v", parse_line(F.col("line")))
+    return parsed.withColumn("ok", is_object(F.col("v")))
 
 
 def bad_lines(lines: DataFrame) -> DataFrame:
@@ -30,7 +32,7 @@ def bad_lines(lines: DataFrame) -> DataFrame:
 def read_documents(spark: SparkSession, *paths: str) -> DataFrame:
     """``file, v`` of small JSON documents, one a file; ``v`` is null if it is no JSON."""
     whole = spark.read.option("wholetext", True).text(list(paths))
-    return whole.select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
+    return whole.select(F.col("_metadata.file_path").alias("file"), parse_line(F.col("value")).alias("v"))
 
 
 def discover(spark: SparkSession, *paths: str, newest: int | None = None) -> DataFrame:

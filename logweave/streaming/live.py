@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from logweave.functions.lines import parse_line
 from logweave.sources.tail import TailSource
 
 
@@ -17,7 +18,7 @@ def follow(spark: SparkSession, pattern: str, max_bytes: int = 64 << 20) -> Data
     """Stream of ``file, generation, at_byte, line, v`` of the whole lines of growing files."""
     spark.dataSource.register(TailSource)
     lines = spark.readStream.format("tail_jsonl").option("path", pattern).option("maxBytes", str(max_bytes)).load()
-    return lines.withColumn("v", F.try_parse_json("line"))
+    return lines.withColumn("v", parse_line(F.col("line")))
 
 
 def newest_generation(lines: DataFrame) -> DataFrame:
