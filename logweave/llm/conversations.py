@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logweave.functions.lines import is_object, parse_line
 from logweave.runtime import cut
 
 #: Speakers as the automaton sees them: other roles, user, assistant.
@@ -57,10 +58,8 @@ def read_entries(df: DataFrame) -> DataFrame:
     the lowest generation, then seq, counts. An entry without a uuid stands alone.
     """
     columns = [c for c in ("transcript_id", "generation", "seq", "at_s") if c in df.columns]
-    parsed = df.select(*columns, F.try_parse_json("v").alias("v"), F.xxhash64("v").alias("line"))
-    parsed = parsed.where(
-        F.col("transcript_id").isNotNull() & F.schema_of_variant("v").startswith("OBJECT")
-    )
+    parsed = df.select(*columns, parse_line(F.col("v")).alias("v"), F.xxhash64("v").alias("line"))
+    parsed = parsed.where(F.col("transcript_id").isNotNull() & is_object(F.col("v")))
     side = F.lower(F.trim(_text("$.isSidechain")))
     stamp = _text("$.timestamp")
     when = F.coalesce(F.unix_micros(F.try_to_timestamp(stamp)), (F.col("at_s") * 1_000_000).cast("long"))
