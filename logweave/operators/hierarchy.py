@@ -108,6 +108,7 @@ def rank_lists(elements: DataFrame) -> DataFrame:
     ends and reach every element. Each round doubles the distance jumped; rounds
     are the logarithm of the longest list. Lists must not be circular.
     """
+    width = int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     state = cut(elements.select("e", "nxt", "n", "w", "last", "kind"))
     while not state.where("nxt is not null").isEmpty():
         for _ in range(2):
@@ -121,7 +122,7 @@ def rank_lists(elements: DataFrame) -> DataFrame:
                 F.col("tlast").alias("last"), F.col("tkind").alias("kind"),
             )
             state = active.unionByName(state.where("nxt is null"))
-        state = cut(state)
+        state = cut(state.coalesce(width))  # unions would add their partitions up, round by round
     return state
 
 
