@@ -13,6 +13,7 @@ pieces around it are encoded again.
 from __future__ import annotations
 
 import base64
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from pathlib import Path
@@ -28,6 +29,8 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
 #: Pieces kept ready per Python worker; beyond it the store starts anew.
 READY = 400_000
+#: Ids gathered before a batch of results leaves the worker, so that very long texts do not add up.
+FLUSH = 1_000_000
 
 # Fixed value: how byte_bpe_50k cuts text into pieces before merging.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -222,13 +225,17 @@ def _encoder(folder: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(folder, name)
         for batch in batches:
-            ids, ends = [], [0]
-            for t in batch.column(1).to_pylist():
+            ids, ends, first = array("i"), [0], 0
+            for row in range(batch.num_rows):
+                t = batch.column(1)[row].as_py()
                 if t:
-                    ids += words.encode(t)
+                    ids.extend(words.encode(t))
                 ends.append(len(ids))
-            column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(ids, "int32")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), column], [batch.schema.names[0], "ids"])
+                if len(ids) >= FLUSH or row + 1 == batch.num_rows:
+                    column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, "int32") if ids else [], pa.int32()))
+                    keys = batch.column(0).slice(first, len(ends) - 1)
+                    yield pa.RecordBatch.from_arrays([keys, column], [batch.schema.names[0], "ids"])
+                    ids, ends, first = array("i"), [0], row + 1
 
     return run
 

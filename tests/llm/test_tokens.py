@@ -1,8 +1,10 @@
 import random
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
+from logweave.llm import tokens
 from logweave.llm.tokens import TOKENIZERS, Encoded, count_tokens, encode_column, vocabulary
 
 pytestmark = pytest.mark.skipif(not Path(TOKENIZERS, "byte_bpe_50k.tiktoken").exists(), reason="no vocabularies")
@@ -56,11 +58,16 @@ def test_an_edit_encodes_only_what_is_near():
     assert e.replace(6000, 6003, "xyz") < 12 and e.ids == v.encode(e.text)
 
 
-def test_table(spark):
+def test_table(spark, monkeypatch):
     rows = [(1, "a b", "x"), (2, "", "x"), (3, None, "x"), (3, None, "x"), (None, "z", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     got = sorted(((r["doc_id"] or 0, r["ids"]) for r in encode_column(df, "doc_id", "text").collect()), key=str)
     v = vocabulary()
     assert got == sorted([(1, v.encode("a b")), (2, []), (3, []), (3, []), (0, v.encode("z"))], key=str)
     assert encode_column(df.limit(0), "doc_id", "text").count() == 0
+    monkeypatch.setattr(tokens, "FLUSH", 1)  # a batch for every text
+    run = tokens._encoder(TOKENIZERS, tokens.VOCABULARY)
+    batch = pa.RecordBatch.from_pydict({"k": [1, 2, 3, 4], "t": ["a b", None, "c", ""]})
+    assert [r for out in run([batch]) for r in out.to_pylist()] == [
+        {"k": 1, "ids": v.encode("a b")}, {"k": 2, "ids": []}, {"k": 3, "ids": v.encode("c")}, {"k": 4, "ids": []}]
     assert sorted(r["tokens"] for r in count_tokens(df, ["doc_id"], "text").collect()) == [0, 0, 0, 1, 2]
