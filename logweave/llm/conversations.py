@@ -51,11 +51,13 @@ def _blank_content(content: Column) -> Column:
     )
 
 
-def read_entries(df: DataFrame) -> DataFrame:
+def read_entries(df: DataFrame, content: bool = True) -> DataFrame:
     """One row per entry of ``(transcript_id, seq, generation, v)`` lines.
 
     Lines that are no JSON object are ignored. Entries with the same uuid are one:
     the lowest generation, then seq, counts. An entry without a uuid stands alone.
+    Without ``content`` the contents themselves are left behind: verdicts need
+    only whether they are blank, and nothing wide is shuffled then.
     """
     columns = [c for c in ("transcript_id", "generation", "seq", "at_s") if c in df.columns]
     parsed = df.select(*columns, parse_line(F.col("v")).alias("v"), F.xxhash64("v").alias("line"))
@@ -63,14 +65,14 @@ def read_entries(df: DataFrame) -> DataFrame:
     side = F.lower(F.trim(_text("$.isSidechain")))
     stamp = _text("$.timestamp")
     when = F.coalesce(F.unix_micros(F.try_to_timestamp(stamp)), (F.col("at_s") * 1_000_000).cast("long"))
-    content = F.try_variant_get(F.col("v"), "$.message.content", "variant")
+    body = F.try_variant_get(F.col("v"), "$.message.content", "variant")
     entries = parsed.select(
         "transcript_id", "generation", "seq", "line",
         _text("$.uuid").alias("uuid"), _text("$.parentUuid").alias("parent_uuid"),
         F.coalesce(_text("$.type"), F.lit("")).alias("type"),
         F.when(side.isin("true", "1"), 1).otherwise(0).alias("is_sidechain"),
         when.alias("at"), _text("$.message.role").alias("role"),
-        _blank_content(content).alias("blank"), content.cast("string").alias("content"),
+        _blank_content(body).alias("blank"), *([body.cast("string").alias("content")] if content else []),
     )
     first = F.struct(F.coalesce("generation", F.lit(0)), F.coalesce("seq", F.lit(1 << 62)), "line")
     known = entries.where("uuid is not null").groupBy("uuid").agg(
@@ -139,7 +141,7 @@ def conversation_verdicts(entries: DataFrame, partitions: int | None = None) ->
     opens), ``missing_reply`` (a user turn that is last or meets another).
     Messages without a time come last.
     """
-    entries = cut(entries.drop("content"))
+    entries = cut(entries.drop("content", "line"))
     messages = entries.where(F.col("type").isin("user", "assistant"))
     spoken = entries.where("not blank").withColumn("speaker", _speaker())
     ordered = ordered_messages(spoken, partitions).select("transcript_id", "is_sidechain", "speaker")

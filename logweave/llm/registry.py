@@ -71,7 +71,7 @@ def p2_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdicts = conversation_verdicts(read_entries(table(spark, sf_dir, "entries")))
+    verdicts = conversation_verdicts(read_entries(table(spark, sf_dir, "entries"), content=False))
     return verdicts.where("reason is not null")
 
 
