@@ -37,6 +37,16 @@ def write_conflicts(touches: DataFrame, scope: list[str], agent: str, path: str,
     ).where("writers > 1")
 
 
+def message_edges(sent: DataFrame, known: DataFrame, scope: list[str]) -> DataFrame:
+    """``scope, src, dst, messages``: messages ``(scope, src, to)`` whose recipient is a known name ``(scope, to, dst)``.
+
+    A name that stands for nobody known makes no edge, nor does a message to oneself.
+    """
+    named = known.select(*scope, "to", "dst").distinct()
+    met = sent.join(named, [*scope, "to"]).where("src <> dst")
+    return met.groupBy(*scope, "src", "dst").agg(F.count(F.lit(1)).alias("messages"))
+
+
 def shingles(df: DataFrame, keep: list[str], text: str, words: int = 8) -> DataFrame:
     """Distinct word shingles of each text as 64-bit hashes: ``keep, shingle``; words are ``[a-z0-9]+``."""
     tokens = F.filter(F.split(F.lower(F.col(text)), "[^a-z0-9]+"), lambda w: w != "")

@@ -91,12 +91,11 @@ def write_conflicts(spark, d):
 
 
 def message_edges(spark, d):
-    """Messages between transcripts of a session: those whose target names a transcript."""
-    sent = calls(spark, d).where("tool = 'sendmessage' and target is not null").select(
-        "session_id", F.col("transcript_id").alias("src"), F.regexp_extract(F.lower("target"), r"([0-9a-z_ ]+?)\s*$", 1).alias("to")
+    """Messages from each transcript to each recipient it names."""
+    sent = calls(spark, d).where("tool = 'sendmessage'").select(
+        "session_id", F.col("transcript_id").alias("src"), canonical_text(F.col("target")).alias("dst")
     )
-    known = table(spark, d, "agents").select("session_id", F.lower("description").alias("to"), F.col("agent_id").alias("dst")).distinct()
-    return sent.join(known, ["session_id", "to"]).groupBy("session_id", "src", "dst").agg(F.count(F.lit(1)).alias("messages"))
+    return sent.where("dst is not null").groupBy("session_id", "src", "dst").agg(F.count(F.lit(1)).alias("messages"))
 
 
 def identity_hashes(spark, d):
@@ -247,10 +246,8 @@ ORACLES = {
         GROUP BY 1, 2 HAVING count(*) FILTER (tool <> 'read') = 0 AND reads > 3""",
     "write_conflicts": _C + """SELECT session_id, path, count(DISTINCT transcript_id) AS writers, count(*) AS write_count FROM c
         WHERE tool IN ('write','edit') AND path IS NOT NULL GROUP BY 1, 2 HAVING writers > 1""",
-    "message_edges": _C + r""", s AS (SELECT session_id, transcript_id AS src, regexp_extract(lower(target), '([0-9a-z_ ]+?)\s*$', 1) AS dest
-          FROM c WHERE tool = 'sendmessage' AND target IS NOT NULL),
-        a AS (SELECT DISTINCT session_id, lower(description) AS dest, agent_id AS dst FROM agents)
-        SELECT session_id, src, dst, count(*) AS messages FROM s JOIN a USING (session_id, dest) GROUP BY 1, 2, 3""",
+    "message_edges": _C + """SELECT session_id, transcript_id AS src, path AS dst, count(*) AS messages FROM c
+        WHERE tool = 'sendmessage' AND path IS NOT NULL GROUP BY 1, 2, 3""",
     "identity_hashes": _C + """SELECT tool, count(*) FILTER (substr(sha1(target), 1, 16) = same_hash) AS equal,
         count(*) FILTER (substr(sha1(target), 1, 16) <> same_hash) AS other, count(*) FILTER (same_hash IS NULL) AS unknown
         FROM c WHERE target IS NOT NULL GROUP BY 1""",

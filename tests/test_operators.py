@@ -132,6 +132,12 @@ def test_lineage(spark):
     assert {(r["src"], r["kind"], r["score"]) for r in folded.where("score is not null").collect()} == {("y", "spawn", 0.5), ("q", "handoff", 0.9)}
 
 
+def test_message_edges(spark):
+    sent = spark.createDataFrame([("s", "a", "b"), ("s", "a", "b"), ("s", "a", "nobody"), ("s", "b", "b"), ("t", "a", "b"), ("s", "a", None)], "s string, src string, to string")
+    known = spark.createDataFrame([("s", "b", "b"), ("s", "b", "b"), ("s", "a", "a")], "s string, to string, dst string")
+    assert [tuple(r) for r in lineage.message_edges(sent, known, ["s"]).collect()] == [("s", "a", "b", 2)]
+
+
 def test_search_terms(spark):
     assert search.terms_of("x") == [] and search.terms_of("  Foo bar foo ") == ["foo", "bar"]
     df = spark.createDataFrame([("Foo the bar",), ("foo",), (None,)], "t string")
