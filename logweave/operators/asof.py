@@ -19,8 +19,9 @@ def forward_asof(left: DataFrame, right: DataFrame, by: list[str], at: str, righ
     points = right.where(F.col(right_at).isNotNull()).select(*keys, F.col(right_at).alias("__r")).distinct()
     points = points.select(*keys, *blank, F.col("__r").cast(marked.schema["__t"].dataType).alias("__t"), "__r")
     both = marked.withColumn("__left", F.lit(1)).unionByName(points.withColumn("__left", F.lit(0)))
-    # at one instant points come first, so a row sees only what is strictly later
-    after = W.partitionBy(*by).orderBy(F.col("__t"), F.col("__left")).rowsBetween(1, W.unboundedFollowing)
+    # Read backwards: a frame that grows is carried on, one that shrinks is counted anew for every row.
+    # At one instant points come last, so a row sees only what is strictly later.
+    after = W.partitionBy(*by).orderBy(F.col("__t").desc(), F.col("__left").desc()).rowsBetween(W.unboundedPreceding, -1)
     return (
         both.withColumn("next_at", F.min("__r").over(after)).where("__left = 1").drop("__t", "__r", "__left")
     )

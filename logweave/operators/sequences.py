@@ -98,7 +98,8 @@ def stall_islands(df: DataFrame, by: list[str], order: str, kind: str, at: str,
     w = W.partitionBy(*by).orderBy(order)
     marked = df.withColumn("__reply", is_reply.cast("int"))
     marked = marked.withColumn("__epoch", F.sum("__reply").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    later = F.min(F.when(F.col("__reply") == 1, F.col(at))).over(w.rowsBetween(1, W.unboundedFollowing))
+    back = W.partitionBy(*by).orderBy(F.col(order).desc()).rowsBetween(W.unboundedPreceding, -1)
+    later = F.min(F.when(F.col("__reply") == 1, F.col(at))).over(back)
     errors = marked.withColumn("__resume", later).where("__reply = 0")
     inside = W.partitionBy(*by, "__epoch").orderBy(order)
     new = (~F.lag(kind).over(inside).eqNullSafe(F.col(kind))).cast("int")

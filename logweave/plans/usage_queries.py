@@ -142,7 +142,7 @@ def late_batches(spark, d):
     """Deliveries of a batch that came after a later batch had begun."""
     calls = table(spark, d, "api_calls")
     began = calls.groupBy("batch_no").agg(F.min("received_at").alias("began"), F.max("received_at").alias("ended"), F.count(F.lit(1)).alias("n"))
-    after = F.min("began").over(W.orderBy("batch_no").rowsBetween(1, W.unboundedFollowing))  # one row a batch
+    after = F.min("began").over(W.orderBy(F.col("batch_no").desc()).rowsBetween(W.unboundedPreceding, -1))  # one row a batch
     return began.withColumn("next_began", after).select(
         "batch_no", "n", (F.coalesce(F.col("ended") > F.col("next_began"), F.lit(False))).alias("overtaken")
     )
