@@ -7,21 +7,24 @@ longest chain, not the number of nodes.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.runtime import cut
 
 
-def rank_columns(nodes: DataFrame, edges: DataFrame, scope: list[str], rounds: int = 64) -> DataFrame:
+def rank_columns(nodes: DataFrame, edges: DataFrame, scope: list[str], rounds: int | None = None) -> DataFrame:
     """``scope, node, rank``: length of the longest chain of edges that ends at the node.
 
-    Stops when nothing changes; on a cycle ranks are those after ``rounds`` rounds.
+    Goes on until nothing changes. On a cycle that never happens: ``rounds`` then
+    says after how many rounds ranks are taken as they are.
     """
     base = nodes.select(*scope, "node").distinct()
     links = cut(edges.where("src <> dst").select(*scope, "src", "dst").distinct())
     rank = cut(base.withColumn("rank", F.lit(0)))
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         reach = links.join(rank.withColumnRenamed("node", "src"), [*scope, "src"]).groupBy(*scope, F.col("dst").alias("node")).agg(
             (F.max("rank") + 1).alias("above")
         )
@@ -33,11 +36,12 @@ def rank_columns(nodes: DataFrame, edges: DataFrame, scope: list[str], rounds: i
     return rank
 
 
-def critical_path(spans: DataFrame, edges: DataFrame, scope: list[str], rounds: int = 64) -> DataFrame:
+def critical_path(spans: DataFrame, edges: DataFrame, scope: list[str]) -> DataFrame:
     """``scope, node, score, pred, end``: best time-weighted chain that ends at each node.
 
     ``spans``: (scope, node, start, end). Along an edge forward in time a node adds
     ``max(0, end - max(start, end of the one before))``; alone it scores its own length.
+    Only edges forward in the order (start, end, node) count, so chains end.
     """
     own = F.col("end") - F.col("start")
     base = cut(spans.select(*scope, "node", "start", "end"))
@@ -49,7 +53,7 @@ def critical_path(spans: DataFrame, edges: DataFrame, scope: list[str], rounds:
         (F.col("src_end") < F.col("dst_end")) | ((F.col("src_end") == F.col("dst_end")) & (F.col("src") < F.col("dst")))))
     links = cut(forward.where(order).select(*scope, "src", "dst", gain.alias("gain")))
     state = cut(base.select(*scope, "node", own.alias("score"), F.lit(None).cast("string").alias("pred"), "end"))
-    for _ in range(rounds):
+    while True:
         offer = links.join(state.select(*scope, F.col("node").alias("src"), "score"), [*scope, "src"])
         total = F.col("score") + F.col("gain")
         best = offer.groupBy(*scope, F.col("dst").alias("node")).agg(

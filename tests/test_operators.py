@@ -112,6 +112,8 @@ def test_graph(spark):
     assert got == {"a": (10, None), "b": (30, "a"), "c": (25, None)}
     ranks = {r["node"]: r["rank"] for r in graph.rank_columns(spans, edges, ["k"]).collect()}
     assert ranks == {"a": 0, "b": 1, "c": 0}
+    ring = spark.createDataFrame([("s", "a", "b"), ("s", "b", "a")], "k string, src string, dst string")
+    assert {r["node"]: r["rank"] for r in graph.rank_columns(spans, ring, ["k"], rounds=3).collect()} == {"a": 3, "b": 3, "c": 0}
 
 
 def test_lineage(spark):
