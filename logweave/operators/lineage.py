@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.runtime import cut
+
 
 def artifact_edges(touches: DataFrame, scope: list[str], agent: str, path: str, at: str, writes: Column, reads: Column) -> DataFrame:
     """``scope, src, dst, paths, first_path``: ``dst`` read a file at or after ``src`` had written it.
@@ -47,10 +49,13 @@ def message_edges(sent: DataFrame, known: DataFrame, scope: list[str]) -> DataFr
     return met.groupBy(*scope, "src", "dst").agg(F.count(F.lit(1)).alias("messages"))
 
 
+def _tokens(text: str) -> Column:
+    return F.filter(F.split(F.lower(F.col(text)), "[^a-z0-9]+"), lambda w: w != "")
+
+
 def shingles(df: DataFrame, keep: list[str], text: str, words: int = 8) -> DataFrame:
     """Distinct word shingles of each text as 64-bit hashes: ``keep, shingle``; words are ``[a-z0-9]+``."""
-    tokens = F.filter(F.split(F.lower(F.col(text)), "[^a-z0-9]+"), lambda w: w != "")
-    base = df.select(*keep, tokens.alias("w")).where(F.size("w") >= words)
+    base = df.select(*keep, _tokens(text).alias("w")).where(F.size("w") >= words)
     starts = F.sequence(F.lit(1), F.size("w") - words + 1)
     grams = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
     return base.select(*keep, F.explode(F.array_distinct(grams)).alias("shingle"))
@@ -58,10 +63,14 @@ def shingles(df: DataFrame, keep: list[str], text: str, words: int = 8) -> DataF
 
 def containment(
     sources: DataFrame, targets: DataFrame, scope: list[str], src: str, dst: str, src_text: str, dst_text: str,
-    words: int = 8, least: float = 0.15,
+    words: int = 8, least: float = 0.15, run: int = 0,
 ) -> DataFrame:
     """``scope, src_class, dst_class, score``: share of a source's shingles found in a target, at least ``least``.
 
+    With ``run``, also pairs under ``least`` whose texts have that many words in
+    a row in common; as in the reference such a pair shares ``run - words + 1``
+    shingles or more, and only those pairs are tested, on the words themselves.
+
     Equal texts of a scope are one class (its hash), so copies meet once; join
     members to classes by the hash of their text. An inverted index on
     ``(scope, shingle)`` brings classes together; no pair without a common
@@ -72,10 +81,22 @@ def containment(
     a, b = shingles(s, [*scope, "src_class"], "t", words), shingles(d, [*scope, "dst_class"], "t", words)
     size = a.groupBy(*scope, "src_class").agg(F.count(F.lit(1)).alias("n"))
     common = a.join(b, [*scope, "shingle"]).groupBy(*scope, "src_class", "dst_class").agg(F.count(F.lit(1)).alias("c"))
-    score = F.col("c") / F.col("n")
-    return common.join(size, [*scope, "src_class"]).withColumn("score", score).where(score >= least).select(
-        *scope, "src_class", "dst_class", "score"
-    )
+    pairs = common.join(size, [*scope, "src_class"]).withColumn("score", F.col("c") / F.col("n"))
+    columns = [*scope, "src_class", "dst_class", "score"]
+    if not run:
+        return pairs.where(F.col("score") >= least).select(*columns)
+    pairs = cut(pairs.where((F.col("score") >= least) | (F.col("c") >= run - words + 1)))
+    asked = pairs.where(F.col("score") < least).join(s.withColumnRenamed("t", "__s"), [*scope, "src_class"])
+    asked = asked.join(d.withColumnRenamed("t", "__d"), [*scope, "dst_class"])
+    runs = asked.where(F.arrays_overlap(_runs("__s", run), _runs("__d", run)))
+    return pairs.where(F.col("score") >= least).select(*columns).unionByName(runs.select(*columns))
+
+
+def _runs(text: str, words: int) -> Column:
+    """All stretches of so many words of a text, as texts."""
+    w = _tokens(text)
+    starts = F.when(F.size(w) >= words, F.sequence(F.lit(1), F.size(w) - words + 1))
+    return F.transform(starts, lambda i: F.array_join(F.slice(w, i, words), " "))
 
 
 def fold_edges(exact: DataFrame, inferred: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from logweave.functions.lines import is_object, parse_line
 from logweave.operators import asof, graph, intervals, latest, lineage, search, sequences, sweep
 from logweave.plans.core_problems import ROUND_SHARD, agent_key
 from logweave.plans.session_sql import ORACLES  # noqa: F401
-from logweave.runtime import strip, table
+from logweave.runtime import cut, strip, table
 
 
 def rounds(spark, d):
@@ -105,6 +105,30 @@ def handoff_containment(spark, d):
     return out.groupBy("session_id").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.max("score"), 6).alias("best"))
 
 
+def handoff_pairs(spark, d):
+    """Results reused by briefs of their session, by classes of equal texts: 0.15 of the word shingles, or 40 words in a row."""
+    a = agents(spark, d)
+    return lineage.containment(a, a, ["session_id"], "agent_id", "agent_id", "result", "brief", 8, 0.15, 40)
+
+
+def handoff_members(spark, d):
+    """Agents with the classes of their texts, their start, and their end once all their rounds have ended."""
+    span = rounds(spark, d).groupBy("session_id", "agent_id").agg(
+        F.min("s").alias("started"), F.when(F.count_if(F.col("e").isNull()) == 0, F.max("e")).alias("ended")
+    )
+    classes = [F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(n) for c, n in (("result", "src_class"), ("brief", "dst_class"))]
+    return agents(spark, d).select("session_id", "agent_id", *classes).join(span, ["session_id", "agent_id"], "left")
+
+
+def handoff_edges(spark, d):
+    """Reuse edges: the brief of an agent that starts at or after the end of another reuses its result."""
+    m = cut(handoff_members(spark, d))
+    src = m.where("ended is not null").select("session_id", "src_class", F.col("agent_id").alias("src"), "ended")
+    dst = m.where("started is not null").select("session_id", "dst_class", F.col("agent_id").alias("dst"), "started")
+    met = handoff_pairs(spark, d).join(src, ["session_id", "src_class"]).join(dst, ["session_id", "dst_class"])
+    return met.where("src <> dst and started >= ended").select("session_id", "src", "dst", F.round("score", 3).alias("score"))
+
+
 def concurrency_sweep(spark, d):
     r = rounds(spark, d).where("e is not null")
     return sweep.concurrency(r, ["session_id"], "s", "e")
@@ -359,7 +383,7 @@ def markers(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     run_totals, batches, assembled_agents, agent_universe, parent_edges, hidden_fans, rank_columns, critical_path,
-    handoff_containment, concurrency_sweep, round_union, time_split, replay_as_of, slowest_agents, resumed_rounds, step_lookup,
+    handoff_containment, handoff_edges, concurrency_sweep, round_union, time_split, replay_as_of, slowest_agents, resumed_rounds, step_lookup,
     attention_latest, first_activity_after, wait_intervals, wait_overlap, launches_in_turns, scanned_lines, latest_generation,
     sessions_recent, entry_times, content_blocks, user_prompts, turn_split, notifications, redacted_assignments, report_gists,
     first_lines, stated_objectives, search_agents, agent_flags, agents_filtered, fleet_ranking, outcome_dedup, big_results,

@@ -144,3 +144,33 @@ def test_search_terms(spark):
     assert search.terms_of("x") == [] and search.terms_of("  Foo bar foo ") == ["foo", "bar"]
     df = spark.createDataFrame([("Foo the bar",), ("foo",), (None,)], "t string")
     assert df.where(search.matches(F.col("t"), "FOO bar")).count() == 1
+
+_LINE = [f"w{i}" for i in range(100)]
+
+
+def _reuse(spark, result, brief, run):
+    a = spark.createDataFrame([("s", "a", " ".join(result), None), ("s", "b", None, " ".join(brief))], "s string, id string, res string, brief string")
+    return lineage.containment(a, a, ["s"], "id", "id", "res", "brief", 8, 0.15, run).count()
+
+
+def test_reuse_by_a_run_of_words(spark):
+    long = [f"x{i}" for i in range(900)] + _LINE
+    assert [_reuse(spark, long, ["so", *_LINE[:n]], 40) for n in (39, 40)] == [0, 1]
+    assert _reuse(spark, long, ["so", *_LINE[:40]], 0) == 0
+    # 48 shared shingles in three stretches of 23 words: no run of 40.
+    assert _reuse(spark, long, [*_LINE[:23], "a", *_LINE[30:53], "b", *_LINE[60:83]], 40) == 0
+
+
+def test_handoff_edges(spark, tmp_path):
+    from logweave.plans import session_queries as q
+
+    text = " ".join(_LINE[:40])
+    a = [("s", "a", "done: " + text, None), ("s", "b", None, " ".join(_LINE[:20])), ("s", "c", None, " ".join(_LINE[:20])), ("t", "d", None, text)]
+    spark.createDataFrame(a, "session_id string, agent_id string, result string, brief string").write.parquet(f"{tmp_path}/agents.parquet")
+    r = [("s", "a", 1, 10, 20), ("s", "b", 1, 20, 30), ("s", "c", 1, 19, 30), ("t", "d", 1, 30, 40)]
+    times = [F.timestamp_seconds(c).alias(c) for c in ("started_at", "ended_at")]
+    spark.createDataFrame(r, "session_id string, agent_id string, round_no int, started_at long, ended_at long").select(
+        "session_id", "agent_id", "round_no", *times).write.parquet(f"{tmp_path}/rounds.parquet")
+    # 13 of 34 shingles: under one half. "c" starts before the end, "d" is of another session.
+    assert [tuple(x) for x in q.handoff_edges(spark, str(tmp_path)).collect()] == [("s", "a", "b", 0.382)]
+    assert q.handoff_pairs(spark, str(tmp_path)).count() == 1
