@@ -288,11 +288,22 @@ def notifications(spark, d):
 
 
 def redacted_assignments(spark, d):
+    """Only a made-up line per document, as its SQL has it; the texts themselves are in :func:`redacted_texts`."""
     line = F.concat(F.lit("password="), F.substring(F.regexp_replace("text", r"[^a-zA-Z]+", ""), 1, 12), F.lit(" then go"))
     docs = table(spark, d, "documents").where("length(regexp_replace(text, '[^a-zA-Z]+', '')) >= 12")
     return docs.select("doc_id", T.scrub(line).alias("clean"))
 
 
+def redacted_texts(spark, d):
+    """Every document, brief and result without its secrets: the whole text is searched."""
+    docs = table(spark, d, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").cast("string").alias("row_key"), F.lit("text").alias("field"), "text")
+    a = agents(spark, d)
+    fields = [a.select(F.lit("agents").alias("src"), F.col("agent_id").alias("row_key"), F.lit(c).alias("field"), F.col(c).alias("text")) for c in ("brief", "result")]
+    every = docs.unionByName(fields[0]).unionByName(fields[1]).where("text is not null")
+    clean = every.withColumn("clean", T.scrub(F.col("text")))
+    return clean.select("src", "row_key", "field", "clean", (F.col("clean") != F.col("text")).alias("redacted"))
+
+
 def report_gists(spark, d):
     return agents(spark, d).where("result is not null").select("agent_id", T.gist(F.col("result")).alias("gist"))
 
@@ -385,7 +396,7 @@ QUERIES = {f.__name__: f for f in (
     run_totals, batches, assembled_agents, agent_universe, parent_edges, hidden_fans, rank_columns, critical_path,
     handoff_containment, handoff_edges, concurrency_sweep, round_union, time_split, replay_as_of, slowest_agents, resumed_rounds, step_lookup,
     attention_latest, first_activity_after, wait_intervals, wait_overlap, launches_in_turns, scanned_lines, latest_generation,
-    sessions_recent, entry_times, content_blocks, user_prompts, turn_split, notifications, redacted_assignments, report_gists,
+    sessions_recent, entry_times, content_blocks, user_prompts, turn_split, notifications, redacted_assignments, redacted_texts, report_gists,
     first_lines, stated_objectives, search_agents, agent_flags, agents_filtered, fleet_ranking, outcome_dedup, big_results,
     length_check, coverage_missing, export_rows, markers,
 )}

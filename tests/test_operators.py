@@ -174,3 +174,34 @@ def test_handoff_edges(spark, tmp_path):
     # 13 of 34 shingles: under one half. "c" starts before the end, "d" is of another session.
     assert [tuple(x) for x in q.handoff_edges(spark, str(tmp_path)).collect()] == [("s", "a", "b", 0.382)]
     assert q.handoff_pairs(spark, str(tmp_path)).count() == 1
+
+
+#: Each secret with its kind's least length, and one a character too short that stays.
+_SECRETS = [
+    ("-----BEGIN RSA PRIVATE KEY-----\nMIIE\nabc\n-----END RSA PRIVATE KEY-----", "-----BEGIN PUBLIC KEY-----"), ("ghp_" + "a1" * 10, "ghp_" + "a" * 19),
+    ("sk-" + "x_-9" * 4, "sk-" + "x" * 15), ("AKIA" + "A1" * 8, "AKIA" + "A" * 15), ("xoxb-" + "1" * 10, "xoxb-" + "1" * 9),
+    ("eyJ" + "a" * 8 + "." + "b" * 8 + "." + "c" * 4, "eyJ" + "a" * 8 + "." + "b" * 7 + "." + "c" * 4), ("Bearer " + "t" * 12, "Bearer " + "t" * 11),
+]
+
+
+def test_whole_texts_are_redacted(spark, tmp_path):
+    from logweave.plans import session_queries as q
+
+    fill = "Grüße 日本 – 12 words of prose; " * 400
+    texts, want = [None, "", "1 2", fill], ["", "1 2", fill]
+    for secret, short in _SECRETS:
+        for before, after in (("", ""), (fill, ""), (fill, " " + fill), ("é ", "\nend")):
+            texts += [before + secret + after, before + short + after]
+            want += [before + "[redacted]" + after, before + short + after]
+    for name in ("password", "API_KEY", "api-key", "Token"):
+        texts += [f"{fill}{name} = hunter22, then", f"{name}: 'a b c d' x", f"{name}=abc"]
+        want += [f"{fill}{name} = [redacted], then", f"{name}: [redacted] x", f"{name}=abc"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    agents = [("a", fill + _SECRETS[1][0], None), ("a", fill + _SECRETS[1][0], None), ("b", None, "token=abcd1234")]
+    spark.createDataFrame(agents, "agent_id string, brief string, result string").write.parquet(f"{tmp_path}/agents.parquet")
+    rows = q.redacted_texts(spark, str(tmp_path)).collect()
+    got = {int(r["row_key"]): r["clean"] for r in rows if r["src"] == "documents"}
+    assert [got[i] for i in sorted(got)] == want
+    assert all(r["redacted"] == (r["clean"] != texts[int(r["row_key"])]) for r in rows if r["src"] == "documents")
+    assert {(r["row_key"], r["field"], r["clean"]) for r in rows if r["src"] == "agents"} == {
+        ("a", "brief", fill + "[redacted]"), ("b", "result", "token=[redacted]")}
