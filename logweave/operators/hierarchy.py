@@ -188,33 +188,46 @@ def hierarchy(
     )
 
 
-def with_paths(tree: DataFrame, separator: str = "/") -> DataFrame:
-    """Add ``top`` (id) and ``path`` (ids from ``top`` to the node) to :func:`hierarchy`.
+def _lines(tree: DataFrame) -> DataFrame:
+    """``(v, line)``: ids from the top to each node that is not on or below a cycle.
 
     Pointer doubling over the parents: the logarithm of the depth in rounds. The
-    text of all paths is the size of the result itself. Null on or below cycles.
+    ids of all lines are the size of the result itself.
     """
     sound = tree.where("kind <> 'cycle'")
     ids = sound.select(F.col("id").alias("pid"), F.col("v").alias("up"))
     state = cut(
         sound.select("v", "id", "parent").join(ids, F.col("parent") == F.col("pid"), "left")
-        .select("v", "up", F.col("id").alias("path"))
+        .select("v", "up", F.array("id").alias("line"))
     )
     while not state.where("up is not null").isEmpty():
         target = state.select(
-            F.col("v").alias("tv"), F.col("up").alias("tup"), F.col("path").alias("tpath")
-        )
-        longer = F.when(F.col("tpath").isNull(), F.col("path")).otherwise(
-            F.concat("tpath", F.lit(separator), "path")
+            F.col("v").alias("tv"), F.col("up").alias("tup"), F.col("line").alias("tline")
         )
+        longer = F.when(F.col("tline").isNull(), F.col("line")).otherwise(F.concat("tline", "line"))
         state = cut(
             state.join(target, F.col("up") == F.col("tv"), "left").select(
-                "v", F.col("tup").alias("up"), longer.alias("path")
+                "v", F.col("tup").alias("up"), longer.alias("line")
             )
         )
+    return state.select("v", "line")
+
+
+def with_paths(tree: DataFrame, separator: str = "/") -> DataFrame:
+    """Add ``top`` (id) and ``path`` (ids from ``top`` to the node) to :func:`hierarchy`. Null on or below cycles."""
     named = tree.select(F.col("v").alias("nv"), F.col("id").alias("top"))
+    paths = _lines(tree).select("v", F.array_join("line", separator).alias("path"))
     return (
-        tree.join(state.select("v", "path"), "v", "left")
+        tree.join(paths, "v", "left")
         .join(named, F.col("top_v") == F.col("nv"), "left")
         .drop("nv", "top_v")
     )
+
+
+def descendant_pairs(tree: DataFrame) -> DataFrame:
+    """``(ancestor, descendant, distance)``: every descendant of every node not on or below a cycle.
+
+    Each node's own ancestors are exploded, so a node with very many descendants is no group.
+    """
+    up = _lines(tree).select(F.element_at("line", -1).alias("descendant"), F.size("line").alias("n"), F.posexplode("line").alias("pos", "ancestor"))
+    return up.where("pos < n - 1").select("ancestor", "descendant", (F.col("n") - 1 - F.col("pos")).cast("long").alias("distance"))

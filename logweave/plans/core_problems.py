@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.operators.deliveries import deduplicate_deliveries, surplus_deliveries
-from logweave.operators.hierarchy import hierarchy, with_paths
+from logweave.operators.hierarchy import descendant_pairs, hierarchy, with_paths
 from logweave.operators.intervals import FOREVER, gaps_between, merge_intervals
 from logweave.operators.schema_drift import consistent_table, schema_changes
 from logweave.runtime import cut, strip, table
@@ -82,6 +82,19 @@ def p4_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.select("id", "kind", "top", "depth", "descendants", "path")
 
 
+def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descendants of every agent, one row each, and how many links below it they are."""
+    return descendant_pairs(hierarchy(agent_links(spark, sf_dir), "id", "parent"))
+
+
+def p4_tours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every agent not on or below a cycle its place in the tour of its tree: ranks from the end of the tour, so of one
+    ``top`` the descendants are the agents whose ``enter`` is smaller and ``leave`` greater."""
+    tree = hierarchy(agent_links(spark, sf_dir), "id", "parent").where("kind <> 'cycle'")
+    named = tree.select(F.col("v").alias("top_v"), F.col("id").alias("top"))
+    return tree.join(named, "top_v").select("id", "kind", "top", "depth", "enter", "leave")
+
+
 def _rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct rounds: copies of a row are equal in every column, so a digest stands for the rest."""
     rounds = table(spark, sf_dir, "rounds")
@@ -120,6 +133,8 @@ QUERIES = {
     "p3_messages": p3_messages,
     "p4_found": p4_found,
     "p4_hierarchy": p4_hierarchy,
+    "p4_descendants": p4_descendants,
+    "p4_tours": p4_tours,
     "p6_found": p6_found,
     "p6_table": p6_table,
     "p7_found": p7_found,

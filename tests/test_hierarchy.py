@@ -71,3 +71,20 @@ def test_empty_and_null(spark):
     assert one.count() == 0
     rows = hierarchy(spark.createDataFrame([("a", None, 1, ""), ("a", None, 1, "")], SCHEMA), "id", "parent").collect()
     assert [(r["id"], r["kind"], r["depth"]) for r in rows] == [("a", "root", 1)]
+
+
+def test_all_descendants(spark, tmp_path):
+    from logweave.plans import core_problems as q
+
+    # "a/b" holds the separator of paths; "x" hangs below an unknown id, "p" and "q" are a cycle, "r" hangs below it.
+    links = {"a": None, "a/b": "a", "c": "a/b", "d": "a/b", "e": "c", "x": "gone", "y": "x", "p": "q", "q": "p", "r": "p"}
+    rows = [(n, p, "s", None, None) for n, p in links.items()]
+    spark.createDataFrame(rows, "agent_id string, parent_agent_id string, session_id string, tool_use_id string, spawn_depth int").write.parquet(f"{tmp_path}/agents.parquet")
+    spark.createDataFrame([], "session_id string, tool_use_id string, launcher_agent_id string").write.parquet(f"{tmp_path}/launches.parquet")
+    want = {(up, n, len(line) - 1 - i) for n, (kind, line) in brute(links).items() if kind != "cycle"
+            for i, up in enumerate(line[:-1]) if up in links}
+    got = [tuple(r) for r in q.p4_descendants(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    t = q.p4_tours(spark, str(tmp_path)).collect()
+    inside = {(a["id"], b["id"]) for a in t for b in t if a["top"] == b["top"] and b["enter"] < a["enter"] and b["leave"] > a["leave"]}
+    assert inside == {(a, b) for a, b, _ in want}
