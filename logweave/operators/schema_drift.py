@@ -251,10 +251,25 @@ def schema_changes(
         ), [],
     )
     outer_changes = _changes(steps, renamed, [])
-    stable = steps.where("now = was").select("project", "file_no", F.col("name").alias("outer")).withColumn(
-        "concept", _concept_column(F.col("outer"), concept)
+    stable = _stable(steps, concept, nested)
+    place = ["concept", "outer"]
+    inner_steps, pairs, _ = _nested_steps(fields, versions, stable, concept, nested)
+    inner_changes = _changes(inner_steps, pairs, place)
+    return outer_changes.select("project", "file_no", F.col("name").alias("field"), "change").unionByName(
+        inner_changes.select("project", "file_no", F.concat_ws(".", "outer", "name").alias("field"), "change")
     )
-    stable = stable.where(F.col("concept").isin(*nested))
+
+
+def _stable(steps: DataFrame, concept: dict[str, str], nested: tuple[str, ...]) -> DataFrame:
+    """Outer fields with inner ones that a file has as the file before it has them."""
+    stable = steps.where("now = was").select("project", "file_no", F.col("name").alias("outer"))
+    return stable.where(_concept_column(F.col("outer"), concept).isin(*nested))
+
+
+def _nested_steps(
+    fields: DataFrame, versions: DataFrame, stable: DataFrame, concept: dict[str, str], nested: tuple[str, ...]
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(steps, renamed, inner)`` of the fields directly inside the nested ones."""
     inner = (
         fields.where("inner is not null")
         .withColumn("concept", _concept_column(F.col("outer"), concept))
@@ -262,17 +277,67 @@ def schema_changes(
         .select("project", "file_no", "concept", "outer", F.col("inner").alias("name"), "kind", "look")
     )
     place = ["concept", "outer"]
-    inner_steps = cut(
-        _steps(inner, versions, place).join(
-            stable.select("project", "file_no", "outer"), ["project", "file_no", "outer"], "left_semi"
-        )
-    )
-    pairs = _candidates(inner_steps, place)
-    pairs = _never_together(pairs, inner.drop("outer"), ["concept"])
-    inner_changes = _changes(inner_steps, _mutual_best(pairs, place), place)
-    return outer_changes.select("project", "file_no", F.col("name").alias("field"), "change").unionByName(
-        inner_changes.select("project", "file_no", F.concat_ws(".", "outer", "name").alias("field"), "change")
-    )
+    steps = cut(_steps(inner, versions, place).join(stable, ["project", "file_no", "outer"], "left_semi"))
+    pairs = _never_together(_candidates(steps, place), inner.drop("outer"), ["concept"])
+    return steps, _mutual_best(pairs, place), inner
+
+
+def _inner_aliases(renamed: DataFrame, inner: DataFrame) -> dict[str, dict[str, str]]:
+    """Per nested field the names that were renamed, each with the one name they go by in the table.
+
+    Classes grow along the renames, the most frequent first, unless some file has
+    a name of both. The name of a class is the one most files have.
+    """
+    votes = renamed.groupBy("concept", "old", "new").agg(F.count(F.lit(1)).alias("votes"), F.min("far").alias("far"))
+    rows = votes.limit(MAX_ALIASES + 1).collect()
+    if len(rows) > MAX_ALIASES:
+        raise ValueError(f"more than {MAX_ALIASES} renamed inner names: keys look like data")
+    if not rows:
+        return {}
+    named = sorted({(r["concept"], n) for r in rows for n in (r["old"], r["new"])})
+    asked = F.broadcast(inner.sparkSession.createDataFrame(named, "concept string, name string"))  # at most 2 * MAX_ALIASES
+    seen = cut(inner.select("project", "file_no", "concept", "name").join(asked, ["concept", "name"]).distinct())
+    files = {(r["concept"], r["name"]): r["n"] for r in seen.groupBy("concept", "name").agg(F.count(F.lit(1)).alias("n")).collect()}
+    other = seen.withColumnRenamed("name", "other")
+    met = seen.join(other, ["project", "file_no", "concept"]).where("name < other").select("concept", "name", "other").distinct()
+    together = {(r["concept"], *sorted((r["name"], r["other"]))) for r in met.collect()}  # pairs of names of the schema
+    of = {key: [key[1]] for key in named}
+    for r in sorted(rows, key=lambda r: (-r["votes"], r["far"], r["concept"], r["old"], r["new"])):
+        c = r["concept"]
+        a, b = of[c, r["old"]], of[c, r["new"]]
+        if a is not b and not any((c, *sorted((x, y))) in together for x in a for y in b):
+            a += b
+            for x in b:
+                of[c, x] = a
+    out: dict[str, dict[str, str]] = {}
+    for (c, name), names in of.items():
+        out.setdefault(c, {})[name] = min(names, key=lambda x: (-files.get((c, x), 0), x))
+    return out
+
+
+def _union_struct(value: Column, *more: Column) -> Column:
+    """A value as ``(branch, text, number, flag, json)``, null for none or a JSON null."""
+    kind, text = _kind(F.schema_of_variant(value)), value.cast("string")
+    return F.when(kind.isNotNull(), F.struct(
+        *more, kind.alias("branch"), text.alias("text"),
+        F.when(kind == "number", text.try_cast("double"))
+        .when(kind == "string", F.trim(text).try_cast("double")).alias("number"),
+        F.when(kind == "boolean", text.try_cast("boolean")).alias("flag"),
+        F.when(kind.isin("object", "array"), text).alias("json"),
+    ))
+
+
+def _inner_map(value: Column, aliases: dict[str, str]) -> Column:
+    """Fields of an object by their canonical names, each as :func:`_union_struct` with its ``name`` in the line."""
+    entries = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+    entries = F.filter(entries, lambda e: _kind(F.schema_of_variant(e["value"])).isNotNull())
+    names = F.transform(entries, lambda e: e["key"])
+    moved = {a: c for a, c in aliases.items() if a != c}
+    known = F.transform(names, lambda n: F.coalesce(_concept_column(n, moved), n)) if moved else names
+    # Two names of one field in a line (no file that was compared has that) keep their own names.
+    keys = F.when(F.size(F.array_distinct(known)) == F.size(known), known).otherwise(names)
+    values = F.transform(entries, lambda e: _union_struct(e["value"], e["key"].alias("name")))
+    return F.when(F.schema_of_variant(value).startswith("OBJECT"), F.map_from_arrays(keys, values))
 
 
 def _changes(steps: DataFrame, renamed: DataFrame, place: list[str]) -> DataFrame:
@@ -296,16 +361,24 @@ def consistent_table(
     file_no: str = "file_no",
     keep: tuple[str, ...] = ("record_id", "project", "file_no", "line_no"),
     tracked: tuple[str, ...] = ("type", "toolUseResult", "attachment"),
+    nested: tuple[str, ...] = ("toolUseResult", "attachment"),
 ) -> DataFrame:
     """All lines in one schema: per tracked field a tagged union.
 
     Each tracked field, under whatever name the line has it, becomes a struct
     ``(branch, text, number, flag, json)``: ``branch`` is the type found, the
     column of that type holds the value, and ``text`` is the canonical conversion
-    every branch has. ``parsed`` is false for lines that are no JSON object; they
-    stay in the table with null fields.
+    every branch has. Each ``nested`` field also has a map ``<field>_fields`` from
+    the canonical name of every field directly inside it to such a struct, with
+    the ``name`` it has in the line; renames are those of :func:`schema_changes`.
+    ``parsed`` is false for lines that are no JSON object; they stay in the table
+    with null fields.
     """
-    _, _, _, concept = field_model(df, raw, project, file_no, tracked)
+    fields, versions, top, concept = field_model(df, raw, project, file_no, tracked)
+    mine = top.where(_concept_column(F.col("name"), concept).isNotNull())
+    stable = _stable(_steps(mine, versions, []), concept, nested)
+    _, renamed, inner = _nested_steps(fields, versions, stable, concept, nested)
+    aliases = _inner_aliases(renamed, inner)
     out = df.select(*keep, parse_line(F.col(raw)).alias("__v"))
     out = out.withColumn("parsed", is_object(F.col("__v")))
     for name in tracked:
@@ -314,16 +387,8 @@ def consistent_table(
             F.try_variant_get(F.col("__v"), '$["' + a.replace('"', "") + '"]', "variant") for a in spellings
         ])
         out = out.withColumn("__g", F.when(F.col("parsed"), got))
-        kind = _kind(F.expr("schema_of_variant(__g)"))
-        text = F.expr("cast(__g as string)")
-        out = out.withColumn(
-            name,
-            F.when(kind.isNotNull(), F.struct(
-                kind.alias("branch"), text.alias("text"),
-                F.when(kind == "number", text.try_cast("double"))
-                .when(kind == "string", F.trim(text).try_cast("double")).alias("number"),
-                F.when(kind == "boolean", text.try_cast("boolean")).alias("flag"),
-                F.when(kind.isin("object", "array"), text).alias("json"),
-            )),
-        ).drop("__g")
+        out = out.withColumn(name, _union_struct(F.col("__g")))
+        if name in nested:
+            out = out.withColumn(f"{name}_fields", _inner_map(F.col("__g"), aliases.get(name, {})))
+        out = out.drop("__g")
     return out.drop("__v")

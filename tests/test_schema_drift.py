@@ -55,3 +55,23 @@ def test_one_table(spark):
     assert rows[0]["type"]["text"] == rows[1]["type"]["text"] == "user"
     assert rows[0]["toolUseResult"]["branch"] == "object" and rows[1]["toolUseResult"]["number"] == 12.0
     assert rows[2]["parsed"] is False and rows[2]["type"] is None
+
+
+def test_inner_fields_in_one_table(spark):
+    say = "some words of text here"
+    files = [
+        ("p", 1, [{"type": "u", "toolUseResult": {"stdout": say, "code": 3, "done": True, "more": {"a": [1]}}}]),
+        ("p", 2, [{"type": "u", "toolUseResult": {"out": say, "code": "4", "done": None, "list": ["x"]}}]),
+        ("p", 3, [{"type": "u", "toolUseResult": {"standardOutput": say, "code": "x"}}]),
+        ("q", 1, [{"type": "u", "toolUseResult": {"stdout": say}, "attachment": {"out": 5}}, {"type": "u", "toolUseResult": say}, "{"]),
+        (None, 1, [{"type": "u", "toolUseResult": {"stdout": say, "out": "both"}}]),
+    ]
+    rows = {(r["project"], r["file_no"], r["line_no"]): r for r in consistent_table(spark.createDataFrame(rows_of(files), SCHEMA)).collect()}
+    inner = {k: r["toolUseResult_fields"] for k, r in rows.items()}
+    assert [(inner[k]["stdout"]["name"], inner[k]["stdout"]["branch"], inner[k]["stdout"]["text"]) for k in (("p", 1, 0), ("p", 2, 0), ("p", 3, 0), ("q", 1, 0))] == [
+        (n, "string", say) for n in ("stdout", "out", "standardOutput", "stdout")]
+    assert [(inner["p", n, 0]["code"]["branch"], inner["p", n, 0]["code"]["number"]) for n in (1, 2, 3)] == [("number", 3.0), ("string", 4.0), ("string", None)]
+    assert inner["p", 1, 0]["done"]["flag"] is True and inner["p", 1, 0]["more"]["json"] == '{"a":[1]}'
+    assert set(inner["p", 2, 0]) == {"stdout", "code", "list"} and inner["p", 2, 0]["list"]["branch"] == "array"
+    assert inner["q", 1, 1] is None and inner["q", 1, 2] is None and set(inner[None, 1, 0]) == {"stdout", "out"}
+    assert set(rows["q", 1, 0]["attachment_fields"]) == {"out"}
