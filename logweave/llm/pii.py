@@ -344,6 +344,15 @@ def learn_names(texts: DataFrame, text: str, parts: DataFrame) -> DataFrame:
     return lexicon
 
 
+def all_keys(text: str) -> set[str]:
+    """Every key :func:`find_mentions` may look up in a text: of its words as they stand, and of those left by its masks."""
+    taken = forms_of_their_own(text)
+    keys = set(Words(text, taken).key) | {key_of(m.group()) for m in _TOKEN.finditer(text)}
+    for a, b, _ in taken:
+        keys.update(key_of(m.group()) for m in _TOKEN.finditer(text, a, b))
+    return keys
+
+
 def _mentions_with(df: DataFrame, text: str, lexicon: DataFrame, emit, schema: str) -> DataFrame:
     """Run ``emit(row values before the text, text, mentions)`` over ``df`` (text last).
 
@@ -366,11 +375,13 @@ def _mentions_with(df: DataFrame, text: str, lexicon: DataFrame, emit, schema: s
         return df.mapInPandas(run, schema)
 
     numbered = cut(df.withColumn("__row", F.monotonically_increasing_id()))
-    apostrophe = F.regexp_replace(F.lower(F.col(text)), "’", "'")
-    words = F.array_distinct(F.regexp_extract_all(apostrophe, F.lit(r"(?U)(\p{L}[\p{L}\p{M}]*(?:['-]\p{L}[\p{L}\p{M}]*)*)")))
-    asked = numbered.select("__row", F.explode(words).alias("word")).select(
-        "__row", F.explode(F.array_distinct(F.array("word", F.regexp_replace("word", "'s$", "")))).alias("term")
-    )
+
+    def keys_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(number, k) for number, body in zip(pdf["__row"], pdf[text], strict=True) if body for k in all_keys(body)]
+            yield pd.DataFrame(out, columns=["__row", "term"]).astype({"__row": "int64"})
+
+    asked = numbered.select("__row", text).mapInPandas(keys_of, "__row long, term string")
     entries = asked.join(lexicon.select("term", "kind"), "term").groupBy("__row").agg(
         F.collect_set(F.concat_ws(" ", "kind", "term")).alias("__entries")
     )

@@ -70,3 +70,17 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "src string, text string")
     lexicon = learn_names(empty, "text", parts)
     assert lexicon.count() == 0 and mention_table(empty, ["src"], "text", lexicon).count() == 0
+
+
+def test_both_paths_find_the_same_names(spark, monkeypatch):
+    lexicon = spark.createDataFrame([("jürgen", "given"), ("nikos", "given"), ("νίκοσ", "given"), ("weiss", "family"), ("strauss", "family"), ("παπασ", "family")],
+                                    "term string, kind string")
+    bodies = ["ask Jürgen Weiß now", "by JÜRGEN STRAUß’s team", "Strauß, Jürgen and Jürgen Strauss", "ο Νίκος Παπας εδώ", "x 30B Hollow Lane, Flat 25, Lindholm Jürgen Weiß's laptop", "", None]
+    df = spark.createDataFrame([(str(i), b) for i, b in enumerate(bodies)], "row_key string, text string")
+    found, clean = [], []
+    for rows in (pii.BROADCAST_ROWS, -1):
+        monkeypatch.setattr(pii, "BROADCAST_ROWS", rows)
+        found.append(sorted(map(tuple, mention_table(df, ["row_key"], "text", lexicon).collect())))
+        clean.append(sorted(map(tuple, sanitised_table(df, ["row_key"], "text", lexicon).collect())))
+    assert found[0] == found[1] and clean[0] == clean[1]
+    assert [r[0] for r in found[1] if r[1] == "name"] == ["0", "1", "2", "2", "3", "4"]
