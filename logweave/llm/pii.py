@@ -49,6 +49,8 @@ _EMAIL = regex.compile(
 _EMAIL_BRACKETS = regex.compile(
     rf"{_BEFORE}{_LOCAL}\s?[\[({{<]\s?at\s?[\])}}>]\s?{_LABEL}(?:(?:\.|{_DOT}){_LABEL})+", regex.I
 )
+#: In every text with a mail spelled with brackets.
+_AT_BRACKETS = regex.compile(r"[\[({<]\s?at\s?[\])}>]")
 _EMAIL_WORDS = regex.compile(rf"{_BEFORE}{_LOCAL}\sat\s{_LABEL}(?:{_DOT}{_LABEL})+", regex.I)
 _NOT_PERSONAL_LOCAL = regex.compile(r"^(?:git|svn|hg)@", regex.I)
 _NUMBER_OF = r"(?:\s*(?:no\.?|number|nr\.?|num\.?|n[º°]|id|is|:|#))*\s*"
@@ -107,7 +109,7 @@ def forms_of_their_own(text: str) -> list[tuple[int, int, str]]:
 
     small = text.lower()
     patterns = [("email", _EMAIL)] if "@" in text else []
-    if "at" in small and "dot" in small or "[at" in small or "(at" in small or "{at" in small or "<at" in small:
+    if "at" in small and "dot" in small or _AT_BRACKETS.search(small):
         patterns += [("email", _EMAIL_BRACKETS), ("email", _EMAIL_WORDS)]
     patterns.append(("address", _ADDRESS))
     if any(w in small for w in _ID_WORDS):

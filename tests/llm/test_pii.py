@@ -84,3 +84,8 @@ def test_both_paths_find_the_same_names(spark, monkeypatch):
         clean.append(sorted(map(tuple, sanitised_table(df, ["row_key"], "text", lexicon).collect())))
     assert found[0] == found[1] and clean[0] == clean[1]
     assert [r[0] for r in found[1] if r[1] == "name"] == ["0", "1", "2", "2", "3", "4"]
+
+
+@pytest.mark.parametrize("at", ["[at]", "[ at ]", "( at )", "<at >", "[ AT ]", "[\nat ]"])
+def test_mail_with_blanks_in_brackets(at):
+    assert kinds(f"to jane {at} corp.invalid; x") == [(f"jane {at} corp.invalid", "email")]
