@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -49,8 +49,13 @@ def largest_true_mix(weights: Mapping[str, float], caps: Mapping[str, float]) ->
     return min(fits, default=0.0)
 
 
+def halfway(weights: Mapping[str, float], caps: Mapping[str, float]) -> float:
+    """A total at which some sources are clamped and others take the excess (unless all hold their weight at their cap)."""
+    return (largest_true_mix(weights, caps) + sum(caps[s] for s, w in weights.items() if w and w > 0)) / 2
+
+
 def mix_sources(
-    sized: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 0
+    sized: DataFrame, targets: DataFrame, total: float | Callable[[dict, dict], float] | None = None, seed: int = 0
 ) -> tuple[DataFrame, DataFrame]:
     """``(mix, report)`` for ``sized``: (doc_id, source, tokens) and ``targets``: (source, weight, max_repeats).
 
@@ -58,8 +63,8 @@ def mix_sources(
     least once. Each source is taken whole as many times as fits its target, and
     once more in part: documents in the order of a seeded hash until the target is
     met as nearly as whole documents allow. No document is taken more than
-    ``max_repeats`` times. ``total`` is the wanted number of tokens; by default
-    the largest at which every source holds its weight. ``report`` has, per source
+    ``max_repeats`` times. ``total`` is the wanted number of tokens, or makes it of
+    weights and caps; by default the largest at which every source holds its weight. ``report`` has, per source
     of ``targets``, sizes, target and actual shares and epochs.
 
     Sources are compared without case and outer white space; documents of a null
@@ -84,7 +89,7 @@ def mix_sources(
     sizes = {r["source"]: r["t"] for r in ranges.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
     weights = {r["source"]: float(r["weight"] or 0) for r in rows}
     caps = {r["source"]: float(sizes.get(r["source"], 0) * max(r["cap"] or 0, 0)) for r in rows}
-    asked = largest_true_mix(weights, caps) if total is None else float(total)
+    asked = (total or largest_true_mix)(weights, caps) if total is None or callable(total) else float(total)
     shares = water_fill(weights, caps, asked)
     plan = []
     for r in rows:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logweave.functions.paths import canonical_text
 from logweave.llm.conversations import conversation_verdicts, conversations, read_entries
 from logweave.llm.languages import label_segments, wrong_labels
-from logweave.llm.mixing import mix_sources
+from logweave.llm.mixing import halfway, mix_sources
 from logweave.llm.pii import learn_names, mention_table, sanitised_table
 from logweave.llm.runs import collapse_runs
 from logweave.llm.tokens import count_tokens, encode_column
@@ -83,7 +83,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def _mixed(spark: SparkSession, sf_dir: str, total: float | None = None) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, sf_dir: str, total=None) -> tuple[DataFrame, DataFrame]:
     sized = count_tokens(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text")
     return mix_sources(sized, table(spark, sf_dir, "mix_targets"), total)
 
@@ -99,10 +99,15 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_shares_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for a total far beyond what the caps allow: clamped sources, redistributed excess."""
+    """The same for a total far beyond what the caps allow: every source is clamped."""
     return _mixed(spark, sf_dir, total=1e15)[1]
 
 
+def p9_shares_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same halfway from the largest true mix to all caps: clamped sources, redistributed excess."""
+    return _mixed(spark, sf_dir, total=halfway)[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wrong_labels(
         table(spark, sf_dir, "documents"), "doc_id", "text", "lang",
@@ -128,6 +133,7 @@ QUERIES = {
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
     "p9_shares_capped": p9_shares_capped,
+    "p9_shares_filled": p9_shares_filled,
     "p10_found": p10_found,
     "p10_segments": p10_segments,
 }

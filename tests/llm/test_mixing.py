@@ -42,3 +42,16 @@ def test_shares_caps_and_determinism(spark, total):
 def test_empty(spark):
     mix, report = mix_sources(spark.createDataFrame([], SIZED), spark.createDataFrame([("a", 1.0, 1, "")], TARGETS))
     assert mix.count() == 0 and report.collect()[0]["actual_tokens"] == 0
+
+
+def test_excess_is_shared_out_over_whole_tables(spark):
+    import __spark_entry__ as entry
+
+    rows = [r for r in entry.queries()["p9_shares_filled"](spark, "/root/testdata/sf0.001").collect() if r["available"]]
+    total, weights = sum(r["target_tokens"] for r in rows), sum(r["weight"] for r in rows)
+    cap = {r["source"]: r["available"] * r["max_repeats"] for r in rows}
+    clamped = [r for r in rows if abs(r["target_tokens"] - cap[r["source"]]) < 0.01]
+    taking = [r for r in rows if r["target_tokens"] < cap[r["source"]] - 1]
+    assert clamped and taking and len(clamped) + len(taking) == len(rows)
+    assert all(r["target_tokens"] > total * r["weight"] / weights for r in taking)
+    assert len({round(r["target_tokens"] / r["weight"]) for r in taking}) == 1
