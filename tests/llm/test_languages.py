@@ -55,3 +55,10 @@ def test_labels(spark, samples):
     every = label_segments(docs, "doc_id", "text", s).collect()
     assert len(every) == 6 and all(0 < r["confidence"] <= 1 for r in every)
     assert wrong_labels(docs.limit(0), "doc_id", "text", "lang", s, aliases).count() == 0
+
+
+def test_long_words_are_scored_whole(samples):
+    model = LanguageModel(samples)
+    start = "information" * 4
+    one, other = model._spelling(start + "wirtschaftsprüfung"), model._spelling(start + "développement")
+    assert abs(one - other).max() > 1
