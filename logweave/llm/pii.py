@@ -1,18 +1,25 @@
 """Personal information inside free text: find it, and put typed placeholders in its place.
 
-Addresses of mail, numbers and street addresses have forms of their own. Names
-have none: whether ``Page`` or ``Will`` names a person depends on the corpus.
-They are found by information-theoretic sanitisation. Over the whole corpus,
-co-occurrence counts estimate how strongly a term reveals a protected person: the
-share of a term's (capitalised) occurrences that stand in a slot of a name beside
-a known name part or a title, and its information in bits against the share over
-all terms. Terms above both thresholds disclose; found ones protect further
-terms in the next round. A mention is a run of disclosing terms that has the
-form of a name, and is removed.
+Addresses of mail, numbers and street addresses have forms of their own: a term
+of such a form reveals whom it belongs to wherever it stands, so its disclosure
+is 1 by form. Names have none: whether ``Page`` or ``Will`` names a person
+depends on the corpus. They are found by information-theoretic sanitisation. Over
+the whole corpus, co-occurrence counts estimate how strongly a term reveals a
+protected person: the share of a term's (capitalised) occurrences that stand in a
+slot of a name beside a known name part or a title, and its information in bits
+against the share over all terms. Terms above both thresholds disclose; found
+ones protect further terms, until no term is added. A title and the word after it
+are a term of two words, all of whose occurrences stand in a slot: it discloses
+at any count. A mention is a run of disclosing terms that has the form of a
+name, and is generalised to its type, the placeholder.
+
+Each text is searched for forms once (:func:`with_forms`); their spans travel
+beside the text, and counting and labelling start from them.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,6 +27,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from logweave.runtime import BROADCAST_ROWS, cut
 
@@ -29,10 +37,9 @@ DISCLOSURE = 0.35
 BITS = 1.0
 #: Occurrences a term is credited with outside names, so that one sighting is not certainty.
 PRIOR = 0.5
-#: Rounds of learning from found terms.
-ROUNDS = 3
-#: The given table of name parts is one of a few words a row; more rows than this are refused.
-MAX_PARTS = 200_000
+#: Column with the spans of forms: begin, end and type of one after the other.
+FORMS = "__forms"
+KINDS = ("email", "phone", "id_number", "address")
 
 PLACEHOLDERS = {
     "email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]",
@@ -81,42 +88,66 @@ _TAIL = (
     rf"(?:(?:,\s?|\s)\d{{4,5}}(?:-\d{{4}})? {_CITY}|, ?{_CITY}(?:,? \d{{4,5}}(?:-\d{{4}})?)?)?"
 )
 _CAP = r"(?:\p{Lu}[\p{L}'’-]*\.?|\d{1,3}(?:st|nd|rd|th))"
-_ADDRESS = regex.compile(
+_NUMBER_FIRST = regex.compile(
     # 12B Old Mill Avenue
     rf"(?<![\p{{L}}\p{{N}}.#/-])\d{{1,5}}\p{{Lu}}? (?:{_CAP} ){{1,4}}?(?:Street|Lane|Avenue|Road|Row|Close|Drive|Way|Court|Square|Place|Terrace|Crescent|Boulevard|Grove|Gardens|Hill|Bend|Mews|Walk|Parade|(?:St|Ave|Rd|Ln|Dr|Blvd|Ct|Pl|Sq)\b\.?)(?: (?:North|South|East|West))?(?:(?<=\bBend) (?:Road|Lane|Street|Drive))?{_TAIL}"
     # 12 rue des Tilleuls
     rf"|(?<![\p{{L}}\p{{N}}.#/-])\d{{1,5}}(?: ?(?:bis|ter))?,? (?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|cours)(?: (?:de|du|des|la|le|les|l['’]\p{{L}}+|d['’]\p{{L}}+)){{0,3}}(?: \p{{Lu}}[\p{{L}}'’-]+){{0,4}}{_TAIL}"
+)
+_NAME_FIRST = regex.compile(
     # Calle del Molino 12, Via Roma 3, Rua das Flores 8, ul. Długa 5
-    rf"|(?<![\p{{L}}\p{{N}}])(?:Calle|Avenida|Plaza|Paseo|Camino|Via|Viale|Piazza|Corso|Rua|Travessa|[Uu]l\.|[Aa]l\.|[Уу]л\.)(?: (?:de|del|della|dei|di|la|las|los|el|da|das|do|dos)){{0,3}}(?: \p{{Lu}}[\p{{L}}'’-]+){{1,4}},? \d{{1,5}}\p{{L}}?(?!\p{{L}}){_TAIL}"
+    rf"(?<![\p{{L}}\p{{N}}])(?:Calle|Avenida|Plaza|Paseo|Camino|Via|Viale|Piazza|Corso|Rua|Travessa|[Uu]l\.|[Aa]l\.|[Уу]л\.)(?: (?:de|del|della|dei|di|la|las|los|el|da|das|do|dos)){{0,3}}(?: \p{{Lu}}[\p{{L}}'’-]+){{1,4}},? \d{{1,5}}\p{{L}}?(?!\p{{L}}){_TAIL}"
     # Lindenhofweg 12, Hauptstraße 3, Kerkstraat 9
     rf"|(?<![\p{{L}}\p{{N}}])(?:\p{{Lu}}[\p{{L}}-]*(?:weg|straße|strasse|str\.|gasse|allee|platz|ring|ufer|damm|graben|straat|laan|plein|gracht|kade|dijk)|(?:Am|An der|An den|Im|In der|Auf der|Zum|Zur|Unter den) \p{{Lu}}[\p{{L}}-]+) \d{{1,4}} ?\p{{L}}?(?!\p{{L}}){_TAIL}"
 )
 _TOWN = regex.compile(r"\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)+$")
-_HELD = regex.compile(r"\{[^{}\n]{0,80}\}")
+#: A placeholder: one identifier in braces. Other things in braces (JSON, say) are text.
+_HELD = regex.compile(r"\{\{?\s*[\p{L}_][\p{L}\p{N}_.:-]*\s*\}\}?")
+#: Numbers of bank accounts are none of the types; no part of one is a phone number.
+_ACCOUNT = regex.compile(r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])")
+_DIGIT = regex.compile(r"\p{N}")
 _TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:['’-]\p{L}[\p{L}\p{M}]*)*")
+_LETTERS, _INITIAL = regex.compile(r"\p{L}+"), regex.compile(r"\p{Lu}\.")
+#: A capitalised word, and what may stand between two that belong to one name.
+_CAPITAL = regex.compile(r"(?<![\p{L}\p{M}])(?<![\p{L}\p{M}]['’-])\p{Lu}[\p{L}\p{M}]*(?:['’-]\p{L}[\p{L}\p{M}]*)*")
 _TITLES = frozenset("mr mrs ms miss mx dr prof sir dame herr frau sr sra srta mme mlle".split())
 _PARTICLES = frozenset("de del della der den des di da do dos du la le van von zu zum ten ter el al bin ibn".split())
 #: What may stand between two parts of one name: a blank, or a dot and a blank after an initial or title.
+_BETWEEN = regex.compile(r"[.,]?[ \u00a0](?:(?i:" + "|".join(sorted(_PARTICLES)) + r")[ \u00a0]){0,3}")
+#: No such stretch is longer: three particles of at most three letters with their blanks, and two signs.
+_FAR = 14
 _JOIN, _COMMA = regex.compile(r"\.?[  ]"), regex.compile(r",[  ]")
 
 
 def forms_of_their_own(text: str) -> list[tuple[int, int, str]]:
     """``(start, end, type)`` of mail addresses, numbers and street addresses, in order, apart."""
-    taken: list[tuple[int, int, str]] = [(m.start(), m.end(), "") for m in _HELD.finditer(text)]
-
-    def free(a: int, b: int) -> bool:
-        return all(b <= s or a >= e for s, e, _ in taken)
-
+    starts: list[int] = []
+    taken: list[tuple[int, int, str]] = []
+
+    def take(a: int, b: int, kind: str) -> None:
+        """Keep a span unless it meets one that is there already; spans are apart, so its neighbours tell."""
+        i = bisect_left(starts, a)
+        if (i == len(starts) or b <= starts[i]) and (i == 0 or taken[i - 1][1] <= a):
+            starts.insert(i, a)
+            taken.insert(i, (a, b, kind))
+
+    if "{" in text:
+        for m in _HELD.finditer(text):
+            take(*m.span(), "")
     small = text.lower()
     patterns = [("email", _EMAIL)] if "@" in text else []
     if "at" in small and "dot" in small or _AT_BRACKETS.search(small):
         patterns += [("email", _EMAIL_BRACKETS), ("email", _EMAIL_WORDS)]
-    patterns.append(("address", _ADDRESS))
-    if any(w in small for w in _ID_WORDS):
-        patterns.append(("id_number", _ID_NAMED))
-    patterns += [("id_number", _ID), ("phone", _PHONE)]
-    for kind, pattern in patterns:
-        for m in pattern.finditer(text):
+    if _DIGIT.search(text):
+        for m in _ACCOUNT.finditer(text):
+            take(*m.span(), "")
+        patterns.append(("address", _NUMBER_FIRST, _NAME_FIRST))
+        if any(w in small for w in _ID_WORDS):
+            patterns.append(("id_number", _ID_NAMED))
+        patterns += [("id_number", _ID), ("phone", _PHONE)]
+    for kind, *forms in patterns:
+        found = [m for pattern in forms for m in pattern.finditer(text)]
+        for m in found if len(forms) == 1 else sorted(found, key=lambda m: m.span()):
             a, b = m.span()
             while b > a and text[b - 1] in " -.(":
                 b -= 1
@@ -124,9 +155,36 @@ def forms_of_their_own(text: str) -> list[tuple[int, int, str]]:
                 continue
             if kind == "phone" and not 7 <= sum(c.isdigit() for c in m.group()) <= 20:
                 continue
-            if free(a, b):
-                taken.append((a, b, kind))
-    return sorted(t for t in taken if t[2])
+            take(a, b, kind)
+    return [t for t in taken if t[2]]
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _forms_column(texts: pd.Series) -> pd.Series:
+    def spans(text):
+        return [x for a, b, kind in forms_of_their_own(text) for x in (a, b, KINDS.index(kind))] if text else []
+
+    return pd.Series([spans(t) for t in texts], dtype=object)
+
+
+def with_forms(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with the spans of all forms in ``text`` in the column ``FORMS``, for the functions below."""
+    return df if FORMS in df.columns else df.withColumn(FORMS, _forms_column(text))
+
+
+def _spans(forms) -> list[tuple[int, int, str]]:
+    flat = [int(x) for x in forms] if forms is not None else []
+    return [(flat[i], flat[i + 1], KINDS[flat[i + 2]]) for i in range(0, len(flat), 3)]
+
+
+def masked(text: str, taken: list[tuple[int, int, str]]) -> str:
+    """``text`` with NULs in the place of taken spans and placeholders."""
+    out, at = [], 0
+    for a, b, _ in taken:
+        out += [text[at:a], "\x00" * (b - a)]
+        at = b
+    out = "".join([*out, text[at:]]) if taken else text
+    return _HELD.sub(lambda m: "\x00" * len(m.group()), out) if "{" in out else out
 
 
 def key_of(word: str) -> str:
@@ -144,16 +202,13 @@ class Words:
     """The words of a text outside mentions with forms of their own, and how they adjoin."""
 
     def __init__(self, text: str, taken: list[tuple[int, int, str]]):
-        masked = text
-        for a, b, _ in taken:
-            masked = masked[:a] + "\x00" * (b - a) + masked[b:]
-        masked = _HELD.sub(lambda m: "\x00" * len(m.group()), masked)
-        self.spans = [m.span() for m in _TOKEN.finditer(masked)]
-        self.raw = [masked[a:b] for a, b in self.spans]
+        body = masked(text, taken)
+        self.spans = [m.span() for m in _TOKEN.finditer(body)]
+        self.raw = [body[a:b] for a, b in self.spans]
         self.key = [key_of(w) for w in self.raw]
         self.cap = [w[0].isupper() for w in self.raw]
         n = len(self.raw)
-        self.gap = [masked[self.spans[i][1] : self.spans[i + 1][0]] if i + 1 < n else "\n" for i in range(n)]
+        self.gap = [body[self.spans[i][1] : self.spans[i + 1][0]] if i + 1 < n else "\n" for i in range(n)]
         self.initial = [len(w) == 1 and c and g.startswith(".") for w, c, g in zip(self.raw, self.cap, self.gap, strict=True)]
         self.title = [k in _TITLES and c and len(k) > 1 for k, c in zip(self.key, self.cap, strict=True)]
 
@@ -260,11 +315,34 @@ def _city_end(text: str, a: int, b: int, given) -> int:
     return b
 
 
-def find_mentions(text: str | None, given, family) -> list[tuple[int, int, str]]:
-    """All mentions in a text: ``(start, end, type)`` in order. Null and empty texts have none."""
+class Lexicon:
+    """Keys that disclose as a given or family name."""
+
+    def __init__(self, given, family):
+        self.given, self.family = frozenset(given), frozenset(family)
+        heads = lambda keys: {m.group() for k in keys for m in [_LETTERS.search(k)] if m}
+        self._given, self._family = heads(self.given) | _TITLES, heads(self.family)
+
+    def may_name(self, text: str) -> bool:
+        """Whether a text can hold a name: each has a given name, a title, or an initial and a family name."""
+        letters = _LETTERS.findall(text.casefold())
+        if not self._given.isdisjoint(letters):
+            return True
+        return not self._family.isdisjoint(letters) and _INITIAL.search(text) is not None
+
+
+def find_mentions(text: str | None, lexicon: Lexicon, forms: list[tuple[int, int, str]] | None = None) -> list[tuple[int, int, str]]:
+    """All mentions in a text: ``(start, end, type)`` in order. Null and empty texts have none.
+
+    ``forms`` are those of :func:`forms_of_their_own`, if they are known already.
+    """
     if not text:
         return []
-    taken = [(a, _city_end(text, a, b, given) if k == "address" else b, k) for a, b, k in forms_of_their_own(text)]
+    taken = forms_of_their_own(text) if forms is None else forms
+    if not lexicon.may_name(text):
+        return taken
+    given, family = lexicon.given.__contains__, lexicon.family.__contains__
+    taken = [(a, _city_end(text, a, b, given) if k == "address" else b, k) for a, b, k in taken]
     names = [(a, b, "name") for a, b in Words(text, taken).mentions(given, family)]
     return sorted(taken + names)
 
@@ -278,7 +356,28 @@ def sanitise(text: str, mentions: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _count_evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def neighbours(text: str, forms: list[tuple[int, int, str]]) -> Iterator[tuple[str, str, str]]:
+    """``("word", key, "")`` of each capitalised word, and the :meth:`Words.evidence` of those that adjoin.
+
+    Only capitalised words take part, so only stretches of them are read word by word.
+    """
+    body = masked(text, forms)
+    first = last = None
+    for m in _CAPITAL.finditer(body):
+        a, b = m.span()
+        if not (b == a + 1 and body[b : b + 1] == "."):
+            yield "word", key_of(m.group()), ""
+        if last is not None and a - last <= _FAR and _BETWEEN.fullmatch(body, last, a):
+            last = b
+            continue
+        if first is not None and last > stop:
+            yield from Words(body[first : last + 2], []).evidence()
+        first, last, stop = a, b, b
+    if first is not None and last > stop:
+        yield from Words(body[first : last + 2], []).evidence()
+
+
+def _count_neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of one partition's neighbours and words, summed before they leave it."""
     counts: Counter = Counter()
 
@@ -288,67 +387,70 @@ def _count_evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return frame.astype({"n": "int64"})
 
     for pdf in batches:
-        for text in pdf.iloc[:, 0]:
+        for text, forms in zip(pdf.iloc[:, 0], pdf.iloc[:, 1], strict=True):
             if text:
-                words = Words(text, forms_of_their_own(text))
-                counts.update(words.evidence())
-                counts.update(
-                    ("word", k, "") for k, c, i in zip(words.key, words.cap, words.initial, strict=True) if c and not i
-                )
+                counts.update(neighbours(text, _spans(forms)))
         if len(counts) > 500_000:
             yield rows()
     if counts:
         yield rows()
 
 
+def _seed_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [(family_key(p) if k == "family" else key_of(p.strip()), k) for p, k in zip(pdf["name_part"], pdf["kind"], strict=True) if p.strip()]
+        yield pd.DataFrame(rows, columns=["term", "kind"])
+
+
 def learn_names(texts: DataFrame, text: str, parts: DataFrame) -> DataFrame:
     """``(term, kind, disclosure, bits)``: terms of the corpus that disclose persons.
 
     ``parts`` is the table (name_part, kind) of some known names, the seeds (they
-    come back with disclosure 1). Every text of the corpus is counted.
+    come back with disclosure 1). Every text of the corpus is counted. Found terms
+    are clues to further ones; each round joins only the terms found in the last
+    one, and the rounds end when none is added. A term once found stays.
     """
     counted = cut(
-        texts.select(text).mapInPandas(_count_evidence, "pattern string, a string, b string, n long")
+        with_forms(texts, text).select(text, FORMS)
+        .mapInPandas(_count_neighbours, "pattern string, a string, b string, n long")
         .groupBy("pattern", "a", "b").agg(F.sum("n").alias("n"))
     )
     total = counted.where("pattern = 'word'").select(F.col("a").alias("term"), F.col("n").alias("total"))
-    pairs = counted.where("pattern <> 'word'")
-    rows = parts.where("name_part is not null and kind in ('given', 'family')").limit(MAX_PARTS + 1).collect()
-    if len(rows) > MAX_PARTS:
-        raise ValueError(f"more than {MAX_PARTS} name parts")
-    seeds = {(family_key(r["name_part"]) if r["kind"] == "family" else key_of(r["name_part"].strip()), r["kind"])
-             for r in rows if r["name_part"].strip()}
-    spark = texts.sparkSession
-    known = spark.createDataFrame(sorted(seeds) or [], "term string, kind string")
-    known = known.withColumns({"disclosure": F.lit(1.0), "bits": F.lit(None).cast("double")})
     every = total.agg(F.sum("total").alias("every"))  # one row
-    lexicon = known
-    for _ in range(ROUNDS):
-        is_given = lexicon.where("kind = 'given'").select(F.col("term").alias("g"))
-        is_family = lexicon.where("kind = 'family'").select(F.col("term").alias("f"))
-        gf, fg = pairs.where("pattern = 'gf'"), pairs.where("pattern = 'fg'")
-        evidence = (
-            pairs.where("pattern = 'tf'").select(F.col("b").alias("term"), F.lit("family").alias("kind"), "n")
-            .unionByName(gf.join(is_given, F.col("a") == F.col("g")).select(F.col("b").alias("term"), F.lit("family").alias("kind"), "n"))
-            .unionByName(fg.join(is_given, F.col("b") == F.col("g")).select(F.col("a").alias("term"), F.lit("family").alias("kind"), "n"))
-            .unionByName(gf.join(is_family, F.col("b") == F.col("f")).select(F.col("a").alias("term"), F.lit("given").alias("kind"), "n"))
-            .unionByName(fg.join(is_family, F.col("a") == F.col("f")).select(F.col("b").alias("term"), F.lit("given").alias("kind"), "n"))
-            .groupBy("term", "kind").agg(F.sum("n").alias("n"))
-        )
+
+    def clue(pattern: str, source: str, source_kind: str, term: str, kind: str) -> DataFrame:
+        return counted.where(F.col("pattern") == pattern).select(
+            F.col(source).alias("source"), F.lit(source_kind).alias("source_kind"), F.col(term).alias("term"), F.lit(kind).alias("kind"), "n"
+        )
+
+    clues = cut(
+        clue("tf", "a", "title", "b", "family")
+        .unionByName(clue("gf", "a", "given", "b", "family")).unionByName(clue("fg", "b", "given", "a", "family"))
+        .unionByName(clue("gf", "b", "family", "a", "given")).unionByName(clue("fg", "a", "family", "b", "given"))
+        .join(total, "term")
+    )
+    seeds = parts.where("name_part is not null and kind in ('given', 'family')").select("name_part", "kind")
+    known = seeds.mapInPandas(_seed_keys, "term string, kind string").distinct()
+    lexicon = cut(known.withColumns({"disclosure": F.lit(1.0), "bits": F.lit(None).cast("double")}))
+    new = lexicon.select("term", "kind")
+    evidence = clues.where("source_kind = 'title'").groupBy("term", "kind").agg(F.sum("n").alias("n"), F.max("total").alias("total"))
+    while True:
+        found = clues.join(new.toDF("source", "source_kind"), ["source", "source_kind"]).select("term", "kind", "n", "total")
+        evidence = cut(evidence.unionByName(found).groupBy("term", "kind").agg(F.sum("n").alias("n"), F.max("total").alias("total")))
         base = evidence.groupBy("kind").agg(F.sum("n").alias("slots")).crossJoin(F.broadcast(every))  # two rows
         share = F.col("n") / (F.col("total") + PRIOR)
-        scored = evidence.join(total, "term").join(F.broadcast(base), "kind").withColumns({
+        scored = evidence.join(F.broadcast(base), "kind").withColumns({
             "disclosure": share, "bits": F.log2(share * F.col("every") / F.col("slots")),
         })
         learned = scored.where((F.col("disclosure") >= DISCLOSURE) & (F.col("bits") >= BITS))
-        learned = learned.join(known.select("term", "kind"), ["term", "kind"], "left_anti")
-        lexicon = cut(known.unionByName(learned.select("term", "kind", "disclosure", "bits")))
-    return lexicon
+        learned = cut(learned.join(lexicon.select("term", "kind"), ["term", "kind"], "left_anti").select(*lexicon.columns))
+        if learned.isEmpty():
+            return lexicon
+        lexicon, new = cut(lexicon.unionByName(learned)), learned.select("term", "kind")
 
 
-def all_keys(text: str) -> set[str]:
+def all_keys(text: str, taken: list[tuple[int, int, str]]) -> set[str]:
     """Every key :func:`find_mentions` may look up in a text: of its words as they stand, and of those left by its masks."""
-    taken = forms_of_their_own(text)
     keys = set(Words(text, taken).key) | {key_of(m.group()) for m in _TOKEN.finditer(text)}
     for a, b, _ in taken:
         keys.update(key_of(m.group()) for m in _TOKEN.finditer(text, a, b))
@@ -356,7 +458,7 @@ def all_keys(text: str) -> set[str]:
 
 
 def _mentions_with(df: DataFrame, text: str, lexicon: DataFrame, emit, schema: str) -> DataFrame:
-    """Run ``emit(row values before the text, text, mentions)`` over ``df`` (text last).
+    """Run ``emit(row values before the text, text, mentions)`` over ``df`` (text and forms last).
 
     The lexicon goes to the workers if it has at most BROADCAST_ROWS rows. Beyond,
     each text gets the entries for its own words by a join on the term.
@@ -367,12 +469,12 @@ def _mentions_with(df: DataFrame, text: str, lexicon: DataFrame, emit, schema: s
         terms = {"given": set(), "family": set()}
         for r in lexicon.select("term", "kind").collect():
             terms[r["kind"]].add(r["term"])
-        shared = df.sparkSession.sparkContext.broadcast(terms)
+        shared = df.sparkSession.sparkContext.broadcast(Lexicon(terms["given"], terms["family"]))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            given, family = shared.value["given"].__contains__, shared.value["family"].__contains__
             for pdf in batches:
-                yield emit([(r[:-1], r[-1], find_mentions(r[-1], given, family)) for r in zip(*[pdf[c] for c in columns], strict=True)])
+                rows = zip(*[pdf[c] for c in columns], strict=True)
+                yield emit([(r[:-2], r[-2], find_mentions(r[-2], shared.value, _spans(r[-1]))) for r in rows])
 
         return df.mapInPandas(run, schema)
 
@@ -380,12 +482,13 @@ def _mentions_with(df: DataFrame, text: str, lexicon: DataFrame, emit, schema: s
 
     def keys_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(number, k) for number, body in zip(pdf["__row"], pdf[text], strict=True) if body for k in all_keys(body)]
+            rows = zip(pdf["__row"], pdf[text], pdf[FORMS], strict=True)
+            out = [(number, k) for number, body, forms in rows if body for k in all_keys(body, _spans(forms))]
             yield pd.DataFrame(out, columns=["__row", "term"]).astype({"__row": "int64"})
 
-    asked = numbered.select("__row", text).mapInPandas(keys_of, "__row long, term string")
+    asked = numbered.select("__row", text, FORMS).mapInPandas(keys_of, "__row long, term string")
     entries = asked.join(lexicon.select("term", "kind"), "term").groupBy("__row").agg(
-        F.collect_set(F.concat_ws(" ", "kind", "term")).alias("__entries")
+        F.collect_set(F.struct("kind", "term")).alias("__entries")  # no more than the text has words
     )
     rows = numbered.join(entries, "__row", "left").select(*columns, "__entries")
 
@@ -393,9 +496,10 @@ def _mentions_with(df: DataFrame, text: str, lexicon: DataFrame, emit, schema: s
         for pdf in batches:
             out = []
             for *r, entries in zip(*[pdf[c] for c in [*columns, "__entries"]], strict=True):
-                own = set(entries) if entries is not None else set()
-                found = find_mentions(r[-1], lambda k, o=own: f"given {k}" in o, lambda k, o=own: f"family {k}" in o)
-                out.append((tuple(r[:-1]), r[-1], found))
+                own = {"given": [], "family": []}
+                for e in entries if entries is not None else ():
+                    own[e["kind"]].append(e["term"])
+                out.append((tuple(r[:-2]), r[-2], find_mentions(r[-2], Lexicon(own["given"], own["family"]), _spans(r[-1]))))
             yield emit(out)
 
     return rows.mapInPandas(run_own, schema)
@@ -421,7 +525,8 @@ def mention_table(df: DataFrame, keys: list[str], text: str, lexicon: DataFrame)
 
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{fields}, pii_type string, occurrence int, begin int, end int, mention string"
-    return _mentions_with(df.select(*keys, text).where(F.col(text).isNotNull()), text, lexicon, emit, schema)
+    rows = with_forms(df, text).select(*keys, text, FORMS).where(F.col(text).isNotNull())
+    return _mentions_with(rows, text, lexicon, emit, schema)
 
 
 def sanitised_table(df: DataFrame, keys: list[str], text: str, lexicon: DataFrame) -> DataFrame:
@@ -432,4 +537,4 @@ def sanitised_table(df: DataFrame, keys: list[str], text: str, lexicon: DataFram
         return pd.DataFrame(out, columns=[*keys, text])
 
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return _mentions_with(df.select(*keys, text), text, lexicon, emit, f"{fields}, `{text}` string")
+    return _mentions_with(with_forms(df, text).select(*keys, text, FORMS), text, lexicon, emit, f"{fields}, `{text}` string")

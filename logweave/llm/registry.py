@@ -9,7 +9,7 @@ from logweave.functions.paths import canonical_text
 from logweave.llm.conversations import conversation_verdicts, conversations, read_entries
 from logweave.llm.languages import label_segments, wrong_labels
 from logweave.llm.mixing import halfway, mix_sources
-from logweave.llm.pii import learn_names, mention_table, sanitised_table
+from logweave.llm.pii import learn_names, mention_table, sanitised_table, with_forms
 from logweave.llm.runs import collapse_runs
 from logweave.llm.tokens import count_tokens, encode_column
 from logweave.runtime import cut, table
@@ -31,7 +31,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(src, row_key, field, text)`` of every brief, result and message, each row of the tables once."""
+    """``(src, row_key, field, text)`` of every brief, result and message, each row of the tables once, with their forms."""
     agents = table(spark, sf_dir, "agents").select("agent_id", "brief", "result")
     agents = agents.groupBy("agent_id", F.xxhash64("brief", "result").alias("h")).agg(
         F.first("brief").alias("brief"), F.first("result").alias("result")
@@ -50,7 +50,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("attention").alias("src"), F.col("attention_id").cast("string").alias("row_key"),
         F.lit("message").alias("field"), F.col("message").alias("text"),
     ))
-    return cut(wide.where("text is not null"))
+    return cut(with_forms(wide.where("text is not null"), "text"))
 
 
 def p2_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,13 @@
 import pytest
 
 from logweave.llm import pii
-from logweave.llm.pii import find_mentions, learn_names, mention_table, sanitise, sanitised_table
+from logweave.llm.pii import Lexicon, find_mentions, learn_names, mention_table, sanitise, sanitised_table
 
-GIVEN, FAMILY = {"milou", "will", "grace", "jorun", "rafe"}, {"page", "stone", "dovrek", "elsen", "hook", "o'darrow"}
+LEXICON = Lexicon({"milou", "will", "grace", "jorun", "rafe", "jane"}, {"page", "stone", "dovrek", "elsen", "hook", "o'darrow", "doe"})
 
 
 def kinds(text):
-    return [(text[a:b], k) for a, b, k in find_mentions(text, GIVEN.__contains__, FAMILY.__contains__)]
+    return [(text[a:b], k) for a, b, k in find_mentions(text, LEXICON)]
 
 
 @pytest.mark.parametrize("text,want", [
@@ -24,16 +24,17 @@ def kinds(text):
     ("Milou van Elsen's laptop; ask rafe dovrek", ["name", "name"]),
     ("The Grace window and the Will flag. Will the runner mark the stone page? The hook binds. Hook it. Grace period", []),
     ("25, Norwick Falls Milou Hook's laptop", ["name"]), ("x 30B Hollow Lane, Flat 25, Lindholm Milou Hook's laptop", ["address", "name"]),
-    ("{Milou Dovrek} is {name}", []), ("", []), (None, []),
+    ("{Milou Dovrek} is {name} at {{ user.id }}", ["name"]), ("IBAN DE89 3704 0044 0532 0130 00 or GB29NWBK60161331926819", []),
+    ('{"email": "jane.doe@example.com", "name": "Jane Doe"}', ["email", "name"]), ('{"a": {"phone": "+49 30 5550 893"}, "of": "M. Dovrek"}', ["phone", "name"]), ("", []), (None, []),
 ])
 def test_forms(text, want):
     assert [k for _, k in kinds(text or "")] == want
-    assert find_mentions(text, GIVEN.__contains__, FAMILY.__contains__) == [] or text
+    assert find_mentions(text, LEXICON) == [] or text
 
 
 def test_placeholders_leave_the_rest():
     text = "Ask Mr. Dovrek (a@b.test) at 12 Alder Street, now."
-    assert sanitise(text, find_mentions(text, GIVEN.__contains__, FAMILY.__contains__)) == "Ask [NAME] ([EMAIL]) at [ADDRESS], now."
+    assert sanitise(text, find_mentions(text, LEXICON)) == "Ask [NAME] ([EMAIL]) at [ADDRESS], now."
 
 
 def corpus(spark):
