@@ -94,11 +94,14 @@ _NUMBER_FIRST = regex.compile(
     # 12 rue des Tilleuls
     rf"|(?<![\p{{L}}\p{{N}}.#/-])\d{{1,5}}(?: ?(?:bis|ter))?,? (?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|cours)(?: (?:de|du|des|la|le|les|l['’]\p{{L}}+|d['’]\p{{L}}+)){{0,3}}(?: \p{{Lu}}[\p{{L}}'’-]+){{0,4}}{_TAIL}"
 )
-_NAME_FIRST = regex.compile(
-    # Calle del Molino 12, Via Roma 3, Rua das Flores 8, ul. Długa 5
+# Calle del Molino 12, Via Roma 3, Rua das Flores 8, ul. Długa 5
+_KIND_FIRST = regex.compile(
     rf"(?<![\p{{L}}\p{{N}}])(?:Calle|Avenida|Plaza|Paseo|Camino|Via|Viale|Piazza|Corso|Rua|Travessa|[Uu]l\.|[Aa]l\.|[Уу]л\.)(?: (?:de|del|della|dei|di|la|las|los|el|da|das|do|dos)){{0,3}}(?: \p{{Lu}}[\p{{L}}'’-]+){{1,4}},? \d{{1,5}}\p{{L}}?(?!\p{{L}}){_TAIL}"
-    # Lindenhofweg 12, Hauptstraße 3, Kerkstraat 9
-    rf"|(?<![\p{{L}}\p{{N}}])(?:\p{{Lu}}[\p{{L}}-]*(?:weg|straße|strasse|str\.|gasse|allee|platz|ring|ufer|damm|graben|straat|laan|plein|gracht|kade|dijk)|(?:Am|An der|An den|Im|In der|Auf der|Zum|Zur|Unter den) \p{{Lu}}[\p{{L}}-]+) \d{{1,4}} ?\p{{L}}?(?!\p{{L}}){_TAIL}"
+)
+# Lindenhofweg 12, Hauptstraße 3, Kerkstraat 9
+_KIND_LAST = regex.compile(
+    r"(?<![\p{L}\p{N}])(?=\p{Lu})(?:\p{Lu}[\p{L}-]*+\.? (?=\d)(?<=(?:weg|straße|strasse|str\.|gasse|allee|platz|ring|ufer|damm|graben|straat|laan|plein|gracht|kade|dijk) )"
+    rf"|(?:Am|An der|An den|Im|In der|Auf der|Zum|Zur|Unter den) \p{{Lu}}[\p{{L}}-]+ )\d{{1,4}} ?\p{{L}}?(?!\p{{L}}){_TAIL}"
 )
 _TOWN = regex.compile(r"\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)+$")
 #: A placeholder: one identifier in braces. Other things in braces (JSON, say) are text.
@@ -106,6 +109,8 @@ _HELD = regex.compile(r"\{\{?\s*[\p{L}_][\p{L}\p{N}_.:-]*\s*\}\}?")
 #: Numbers of bank accounts are none of the types; no part of one is a phone number.
 _ACCOUNT = regex.compile(r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])")
 _DIGIT = regex.compile(r"\p{N}")
+#: In every phone number and every number of an identity that stands alone.
+_LONG_NUMBER = regex.compile(r"\d[\d\s().+/-]{3,}\d")
 _TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:['’-]\p{L}[\p{L}\p{M}]*)*")
 _LETTERS, _INITIAL = regex.compile(r"\p{L}+"), regex.compile(r"\p{Lu}\.")
 #: A capitalised word, and what may stand between two that belong to one name.
@@ -141,10 +146,11 @@ def forms_of_their_own(text: str) -> list[tuple[int, int, str]]:
     if _DIGIT.search(text):
         for m in _ACCOUNT.finditer(text):
             take(*m.span(), "")
-        patterns.append(("address", _NUMBER_FIRST, _NAME_FIRST))
+        patterns.append(("address", _NUMBER_FIRST, _KIND_FIRST, _KIND_LAST))
         if any(w in small for w in _ID_WORDS):
             patterns.append(("id_number", _ID_NAMED))
-        patterns += [("id_number", _ID), ("phone", _PHONE)]
+        if _LONG_NUMBER.search(text):
+            patterns += [("id_number", _ID), ("phone", _PHONE)]
     for kind, *forms in patterns:
         found = [m for pattern in forms for m in pattern.finditer(text)]
         for m in found if len(forms) == 1 else sorted(found, key=lambda m: m.span()):
@@ -321,14 +327,20 @@ class Lexicon:
     def __init__(self, given, family):
         self.given, self.family = frozenset(given), frozenset(family)
         heads = lambda keys: {m.group() for k in keys for m in [_LETTERS.search(k)] if m}
-        self._given, self._family = heads(self.given) | _TITLES, heads(self.family)
+        self._given, self._family = heads(self.given), heads(self.family)
+
+    def may_name(self, text: str, address: bool) -> bool:
+        """Whether a text can hold a name: each has a title, or a family name beside a given name or an initial.
 
-    def may_name(self, text: str) -> bool:
-        """Whether a text can hold a name: each has a given name, a title, or an initial and a family name."""
-        letters = _LETTERS.findall(text.casefold())
-        if not self._given.isdisjoint(letters):
+        In a text with an address a given name may also end its town.
+        """
+        letters = set(_LETTERS.findall(text.casefold()))
+        if not _TITLES.isdisjoint(letters):
+            return True
+        given = not self._given.isdisjoint(letters)
+        if address and given:
             return True
-        return not self._family.isdisjoint(letters) and _INITIAL.search(text) is not None
+        return not self._family.isdisjoint(letters) and (given or _INITIAL.search(text) is not None)
 
 
 def find_mentions(text: str | None, lexicon: Lexicon, forms: list[tuple[int, int, str]] | None = None) -> list[tuple[int, int, str]]:
@@ -339,7 +351,7 @@ def find_mentions(text: str | None, lexicon: Lexicon, forms: list[tuple[int, int
     if not text:
         return []
     taken = forms_of_their_own(text) if forms is None else forms
-    if not lexicon.may_name(text):
+    if not lexicon.may_name(text, any(k == "address" for _, _, k in taken)):
         return taken
     given, family = lexicon.given.__contains__, lexicon.family.__contains__
     taken = [(a, _city_end(text, a, b, given) if k == "address" else b, k) for a, b, k in taken]
