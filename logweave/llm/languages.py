@@ -1,15 +1,19 @@
 """Language of every text, and of every stretch of a text in several languages.
 
 Per-word scores come from labelled sentences (word and letter-sequence counts).
-The script of a word narrows the languages it may be in. A Viterbi path over the
-words, with a penalty for switching and switches only between sentences, labels
-the text; stretches of sentences in one language are its segments.
+The script range of a word narrows the languages it is scored for; to the others
+it can only be borrowed, at a fixed cost. A Viterbi path over the words, with a
+penalty for switching, labels the text. It may switch at the ends of sentences
+only, so all words between two ends share a state, and the recursion needs one
+step a sentence, on the sum of its words' scores, to give the same path as one
+step a word. Stretches of sentences in one language are the segments.
 """
 
 from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -28,23 +32,21 @@ SWITCH = 7.0
 #: No word counts more than this against a language, so no single word makes a segment.
 WORST = -4.5
 #: Cost of a word in a script the language is not written in.
-FOREIGN_SCRIPT = 12.0
+FOREIGN_SCRIPT = 16.0
 #: Letter sequences of up to this length are counted.
 ORDER = 4
 READY = 300_000
 
 _CODE_FENCE = regex.compile(r"```.*?(?:```|\Z)", regex.S)
-_LEAF = regex.compile(r"<([\p{L}][^<>\s]{0,60})>\s*[^<>\s]{0,200}\s*</\1>")
-_TAG = regex.compile(r"</?[\p{L}!][^<>\n]{0,200}>")
-_TICKS = regex.compile(r"`[^`\n]{0,2000}`")
-_QUOTES = regex.compile(
-    r"“[^”\n]{0,500}”|„[^“”\n]{0,500}[“”]|«[^»\n]{0,500}»|»[^«\n]{0,500}«|‹[^›\n]{0,500}›|‘[^’\n]{0,500}’(?!\p{L})"
-    r"|\"[^\"\n]{0,500}\"|(?<![\p{L}\p{N}])'[^'\n]{1,200}(?:'(?=\p{L})[^'\n]{1,200}){0,20}'(?!\p{L})"
-)
+_LEAF = regex.compile(r"<(\p{L}[^<>\s]*+)>\s*[^<>\s]*+\s*</\1>")
+_TAG = regex.compile(r"</?[\p{L}!][^<>\n]*+>")
+#: Marks that open a phrase, with those that close it on the same line.
+_CLOSES = {"“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "‘": "’", '"': '"', "'": "'"}
+_OPENS = regex.compile("[" + "".join(_CLOSES) + "]")
 # Shell commands as agents write them, up to the first word that is no argument.
 _COMMAND = regex.compile(
-    r"\b(?:git (?:diff|log|status|show|commit|push|pull|add)\b(?: --?[\p{L}-]+){0,9}(?: HEAD[^\s,;]*)?"
-    r"|python3? \S+(?: --?\S+){0,9}|pytest(?: -\S+){0,9} \S+|make \p{L}+-[\p{L}-]+|grep(?: -\S+){0,9} \S+ \S+"
+    r"\b(?:git (?:diff|log|status|show|commit|push|pull|add)\b(?: --?[\p{L}-]+)*+(?: HEAD[^\s,;]*)?"
+    r"|python3? \S+(?: --?\S+)*+|pytest(?: -\S+)*+ \S+|make \p{L}+-[\p{L}-]+|grep(?: -\S+)*+ \S+ \S+"
     r"|sleep \d\S*|cat \S+/\S+)"
 )
 _MARKED = regex.compile(r"[/\\@_~=#|{}\[\]\p{N}]|^--?\p{L}|^[\p{L}-]+\.\p{L}{1,5}\p{P}*$")
@@ -62,7 +64,7 @@ def plain_sentences(text: str) -> list[list[str]]:
     """
     t = unicodedata.normalize("NFC", _ODD.sub("", text))
     # Quotes before tags, as a tag inside a quoted phrase must not part it.
-    t = _QUOTES.sub(" # ", _TICKS.sub(" # ", _CODE_FENCE.sub("\n", t)))
+    t = without_quoted(without_quoted(_CODE_FENCE.sub("\n", t), {"`": "`"}))
     t = _COMMAND.sub(_keep_end, _TAG.sub("\n", _LEAF.sub("\n", t)))
     out: list[list[str]] = []
     for line in t.replace("\r", "\n").split("\n"):
@@ -84,6 +86,47 @@ def plain_sentences(text: str) -> list[list[str]]:
     return out
 
 
+def without_quoted(text: str, closes: dict[str, str] = _CLOSES) -> str:
+    """``text`` with `` # `` for every quoted phrase, of any length, that ends on its line.
+
+    The first closing mark ends a phrase; a single mark before a letter is an
+    apostrophe, and one after a letter or digit opens nothing. One scan: where a
+    mark has no closing one on the rest of a line, the line is not searched for it again.
+    """
+    opens = _OPENS if closes is _CLOSES else regex.compile("[" + "".join(closes) + "]")
+    if not opens.search(text):
+        return text
+    return "\n".join(_line_without_quoted(line, closes, opens) for line in text.split("\n"))
+
+
+def _line_without_quoted(line: str, closes: dict[str, str], opens) -> str:
+    out, at, unclosed = [], 0, set()
+    m = opens.search(line)
+    while m:
+        i, mark = m.start(), m.group()
+        end = -1
+        if mark not in unclosed and not (mark == "'" and i and (line[i - 1].isalpha() or line[i - 1].isdigit())):
+            end = _closing(line, i + 1, closes[mark])
+            if end < 0:
+                unclosed.add(mark)
+            elif mark == "'" and end == i + 1:
+                end = -1
+        if end >= 0:
+            out += [line[at:i], " # "]
+            at = end + 1
+        m = opens.search(line, max(at, i + 1))
+    return "".join([*out, line[at:]]) if out else line
+
+
+def _closing(line: str, start: int, marks: str) -> int:
+    """Position of the first of ``marks`` from ``start`` on that is no apostrophe, or -1."""
+    found = [line.find(mark, start) for mark in marks]
+    end = min((x for x in found if x >= 0), default=-1)
+    while marks in ("'", "’") and 0 <= end < len(line) - 1 and line[end + 1].isalpha() and end > start:
+        end = line.find(marks, end + 1)
+    return end
+
+
 def _read_token(token: str) -> tuple[tuple[str, ...], bool]:
     """Words of a token without spaces (none if it is a path or the like), and whether it ends a sentence."""
     words = () if _MARKED.search(token) else tuple(_WORD.findall(token.lower()))
@@ -100,9 +143,28 @@ def bare(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c)).replace("ł", "l").replace("ß", "ss")
 
 
+# Unicode ranges of scripts, first and last code point.
+SCRIPT_RANGES = (
+    ("latin", 0x0041, 0x024F), ("greek", 0x0370, 0x03FF), ("cyrillic", 0x0400, 0x052F), ("armenian", 0x0530, 0x058F),
+    ("hebrew", 0x0590, 0x05FF), ("arabic", 0x0600, 0x06FF), ("arabic", 0x0750, 0x077F), ("devanagari", 0x0900, 0x097F),
+    ("bengali", 0x0980, 0x09FF), ("tamil", 0x0B80, 0x0BFF), ("thai", 0x0E00, 0x0E7F), ("georgian", 0x10A0, 0x10FF),
+    ("hangul", 0x1100, 0x11FF), ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF), ("kana", 0x3040, 0x30FF),
+    ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF),
+)
+_FIRST = [r[1] for r in SCRIPT_RANGES]
+
+
 def script(word: str) -> str:
-    names = Counter(unicodedata.name(c, "?").split(" ", 1)[0] for c in word)
-    return names.most_common(1)[0][0]
+    """The script range most letters of a word lie in (of equals the first), or ``other``."""
+
+    def of(c: str) -> str:
+        i = bisect_right(_FIRST, ord(c)) - 1
+        return SCRIPT_RANGES[i][0] if i >= 0 and ord(c) <= SCRIPT_RANGES[i][2] else "other"
+
+    first = of(word[0])
+    if word.isascii():
+        return first
+    return Counter(map(of, word)).most_common(1)[0][0]
 
 
 class LanguageModel:
@@ -127,6 +189,7 @@ class LanguageModel:
                             self.grams[g][at[lang]] += weight
                     self.scripts[script(word)][at[lang]] = True
         self.words, self.grams, self.scripts = dict(self.words), dict(self.grams), dict(self.scripts)
+        self.single = sum((self.grams[g] for g in self.grams if len(g) == 1), np.zeros(n))
         total = sum(self.words.values(), np.zeros(n))
         self.word_total, self.letters = total, len({g for g in self.grams if len(g) == 1}) + 1
         self._rows: dict[str, int] = {}
@@ -145,33 +208,34 @@ class LanguageModel:
         padded = f"<{word}>"
         out = np.zeros(len(self.langs))
         zero = np.zeros(len(self.langs))
-        single = sum((self.grams[g] for g in self.grams if len(g) == 1), zero) if not hasattr(self, "_single") else self._single
-        self._single = single
         for i in range(1, len(padded)):
             p = np.full(len(self.langs), 1.0 / self.letters)
             for k in range(1, ORDER + 1):
                 if i - k + 1 < 0:
                     break
                 seen = self.grams.get(padded[i - k + 1 : i + 1], zero)
-                base = single if k == 1 else self.grams.get(padded[i - k + 1 : i], zero)
+                base = self.single if k == 1 else self.grams.get(padded[i - k + 1 : i], zero)
                 p = (seen + 2.0 * p) / (base + 2.0)
             out += np.log(p)
         return out
 
     def score(self, word: str) -> np.ndarray:
-        """Log-probability of one word in each language, less the best one's, bounded below."""
+        """Log-probability of one word in each language, less the best one's, bounded below.
+
+        Only languages written in the word's script are candidates. A word in a
+        script of no language tells nothing.
+        """
+        candidates = self.scripts.get(script(word))
+        if candidates is None:
+            return np.zeros(len(self.langs))
         spelling = self._spelling(word)
         counts = self.words.get(word)
         if counts is None:
-            spelling = 0.7 * (spelling - spelling.max())
+            spelling = 0.7 * spelling
         else:
             whole = np.log((counts + 0.02) / (self.word_total + 0.02 * len(self.words)))
-            spelling = np.logaddexp(whole, math.log(0.05) + spelling)
-        spelling = np.maximum(spelling - spelling.max(), WORST)
-        fits = self.scripts.get(script(word))
-        if fits is not None:
-            spelling = spelling - np.where(fits, 0.0, FOREIGN_SCRIPT)
-        return spelling - spelling.max()
+            spelling = np.logaddexp(whole, math.log(0.05) + spelling - spelling[candidates].max())
+        return np.where(candidates, np.maximum(spelling - spelling[candidates].max(), WORST), -FOREIGN_SCRIPT)
 
     def rows(self, words: list[str]) -> np.ndarray:
         """Score rows of ``words``, each word scored once per worker."""
@@ -215,7 +279,7 @@ class LanguageModel:
 
     @staticmethod
     def _best_path(sums: np.ndarray) -> list[int]:
-        """Viterbi: a sentence's words share a language; a switch between sentences costs SWITCH."""
+        """Viterbi over words that may switch at the ends of sentences, at the cost of SWITCH: one step a sentence."""
         best, back = sums[0].copy(), []
         stay = np.arange(sums.shape[1])
         for row in sums[1:]:
@@ -253,11 +317,13 @@ def _segments(df: DataFrame, samples: DataFrame, named: bool) -> DataFrame:
                 segments = model.segments(text)
                 if not named or len(segments) > 1 or (segments and segments[0][0] != name):
                     out += [(k, i, *segment) for i, segment in enumerate(segments, 1)]
+                if not named and not segments:
+                    out.append((k, 1, None, None, 0))
             frame = pd.DataFrame(out, columns=[key, "segment_no", "lang", "confidence", "words"])
             yield frame.astype({"segment_no": "int32", "words": "int32", "confidence": "float64"})
 
     kind = df.schema[key].dataType.simpleString()
-    return df.where("text is not null").mapInPandas(
+    return (df.where("text is not null") if named else df).mapInPandas(
         run, f"`{key}` {kind}, segment_no int, lang string, confidence double, words int"
     )
 
@@ -266,8 +332,8 @@ def label_segments(df: DataFrame, key: str, text: str, samples: DataFrame) -> Da
     """``(key, segment_no, lang, confidence, words)``: one row per segment of each text.
 
     Segments are longest stretches of whole sentences in one language, numbered
-    from 1. Null, blank and wordless texts have none. Rows are labelled where they
-    lie. Repeated rows keep their rows; extra columns are not read.
+    from 1. A null, blank or wordless text has one without language and confidence,
+    of 0 words. Rows are labelled where they lie. Repeated rows keep their rows; extra columns are not read.
     """
     rows = df.select(F.col(key), F.lit(None).cast("string").alias("named"), F.col(text).alias("text"))
     return _segments(rows, samples, named=False)
@@ -279,15 +345,13 @@ def wrong_labels(
     """Segments of the texts whose label is missing, wrong, or names one of several languages.
 
     A label names the language ``aliases`` (alias, lang) gives it, without case and
-    outer white space; any other, also null, names none. Rows with a null key are
-    left out. At most MAX_SAMPLES aliases are taken, more are refused.
+    outer white space; any other, also null, names none (of two languages for one
+    spelling the first counts). Rows with a null key are left out. Labels meet
+    their languages by a join of any size.
     """
     clean = lambda c: F.lower(strip(F.col(c)))
     known = aliases.select(clean("alias").alias("alias"), "lang").where("alias is not null and lang is not null")
-    pairs = known.groupBy("alias").agg(F.min("lang").alias("lang")).limit(MAX_SAMPLES + 1).collect()
-    if len(pairs) > MAX_SAMPLES:
-        raise ValueError(f"more than {MAX_SAMPLES} spellings of labels")
-    spelled = F.create_map(*[F.lit(x) for r in sorted(pairs) for x in r]) if pairs else None
-    named = F.element_at(spelled, clean(label)) if pairs else F.lit(None).cast("string")
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key), named.alias("named"), F.col(text).alias("text"))
-    return _segments(rows, samples, named=True).drop("words")
+    known = known.groupBy("alias").agg(F.min("lang").alias("named"))
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("__k"), clean(label).alias("alias"), F.col(text).alias("text"))
+    named = rows.join(known, "alias", "left").select(F.col("__k").alias(key), "named", "text")
+    return _segments(named, samples, named=True).drop("words")

@@ -3,7 +3,9 @@ from pathlib import Path
 
 import pytest
 
-from logweave.llm.languages import LanguageModel, label_segments, plain_sentences, wrong_labels
+import numpy as np
+
+from logweave.llm.languages import SWITCH, LanguageModel, label_segments, plain_sentences, script, without_quoted, wrong_labels
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test data")
@@ -53,7 +55,8 @@ def test_labels(spark, samples):
     got = {(r["doc_id"], r["segment_no"], r["lang"]) for r in wrong_labels(docs, "doc_id", "text", "lang", s, aliases).collect()}
     assert got == {(2, 1, "en"), (3, 1, "de"), (4, 1, "en"), (4, 2, "de"), (7, 1, "en")}
     every = label_segments(docs, "doc_id", "text", s).collect()
-    assert len(every) == 6 and all(0 < r["confidence"] <= 1 for r in every)
+    assert len(every) == 8 and all(0 < r["confidence"] <= 1 for r in every if r["lang"])
+    assert {(r["doc_id"], r["confidence"], r["words"]) for r in every if r["lang"] is None} == {(5, None, 0), (6, None, 0)}
     assert wrong_labels(docs.limit(0), "doc_id", "text", "lang", s, aliases).count() == 0
 
 
@@ -62,3 +65,44 @@ def test_long_words_are_scored_whole(samples):
     start = "information" * 4
     one, other = model._spelling(start + "wirtschaftsprüfung"), model._spelling(start + "développement")
     assert abs(one - other).max() > 1
+
+
+@pytest.mark.parametrize("size", [10, 100, 480, 560, 5_000, 100_000])
+@pytest.mark.parametrize("opens,closes", ["“”", "„“", "«»", "‹›", "‘’", '""', "''", "``"])
+def test_quoted_phrases_of_any_length_make_no_segment(samples, size, opens, closes):
+    said = ("das Ergebnis ist noch offen und " * (size // 30 + 1))[:size].strip()
+    text = f"The runner has read the table and says {opens}{said}{closes} before it stops."
+    assert [s[0] for s in LanguageModel(samples).segments(text)] == ["en"] if size < 600 else plain_sentences(text) == [
+        "the runner has read the table and says before it stops".split()]
+
+
+def test_quotes():
+    assert without_quoted("it's 'one' and 'don't do' x") == "it's  #  and  #  x"
+    assert without_quoted("‘it’s so’ he; “open\nclose” «a» \"b\"") == " #  he; “open\nclose”  #   # "
+    assert without_quoted("'' 'x") == "'' 'x" and without_quoted("no") == "no"
+    assert without_quoted("“" * 200_000 + " 'a" * 100_000) == "“" * 200_000 + " 'a" * 100_000
+
+
+def test_one_step_a_sentence_is_the_path_over_words():
+    rnd = np.random.default_rng(3)
+    for _ in range(200):
+        lengths = rnd.integers(1, 5, rnd.integers(1, 7))
+        words = rnd.normal(0, 6, (lengths.sum(), 4))
+        ends = set(np.cumsum(lengths)[:-1])
+        best, back = words[0].copy(), []
+        for i, row in enumerate(words[1:], 1):
+            cost = SWITCH if i in ends else np.inf
+            move = best[:, None] - cost * (1 - np.eye(4)) if np.isfinite(cost) else np.where(np.eye(4) == 1, best[:, None], -np.inf)
+            back.append(move.argmax(axis=0))
+            best = move.max(axis=0) + row
+        path = [int(best.argmax())]
+        for step in reversed(back):
+            path.append(int(step[path[-1]]))
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        assert LanguageModel._best_path(np.add.reduceat(words, starts, axis=0)) == [path[::-1][i] for i in starts]
+
+
+def test_scripts_narrow_the_candidates(samples):
+    assert [script(w) for w in ("price", "größe", "таблица", "表", "ひら", "x표표")] == ["latin", "latin", "cyrillic", "han", "kana", "hangul"]
+    model = LanguageModel([("en", "the table is open"), ("ru", "таблица открыта")])
+    assert list(model.score("стол")) == [-16.0, 0.0] and not model.score("表").any()
