@@ -12,8 +12,10 @@ from logweave.runtime import cut, strip
 
 #: The table of targets is one row per source; more rows than this are refused.
 MAX_SOURCES = 10_000
-#: Hash ranges per source in which the last, fractional repetition is drawn.
-RANGES = 4096
+#: Bits of a document's place by which a range is split, and of a place in all.
+DIGIT, PLACE = 12, 60
+#: A border range with at most this many documents is ordered; a larger one is split again.
+ORDERED = 10_000
 
 
 def water_fill(
@@ -54,6 +56,43 @@ def halfway(weights: Mapping[str, float], caps: Mapping[str, float]) -> float:
     return (largest_true_mix(weights, caps) + sum(caps[s] for s, w in weights.items() if w and w > 0)) / 2
 
 
+def _borders(docs: DataFrame, rest: dict[str, int]) -> DataFrame:
+    """``(source, rest, low, high, before)``: the range of places in which a source's ``rest`` tokens run out.
+
+    ``before`` counts the tokens of all lower places. The range is split by DIGIT
+    bits of the place at a time until it has at most ORDERED documents, so at most
+    ``2 ** DIGIT`` rows a source leave the map side, however large the source.
+    """
+    spark, at = docs.sparkSession, {s: (0, 0, n) for s, n in rest.items() if n > 0}
+    schema = "source string, low long, before long, rest long"
+    done: list[tuple] = []
+    for shift in range(PLACE - DIGIT, -1, -DIGIT):
+        if not at:
+            break
+        border = F.broadcast(spark.createDataFrame([(s, *x) for s, x in at.items()], schema))  # one row a source
+        inside = docs.join(border, "source").where(
+            (F.col("place") >= F.col("low")) & (F.col("place") < F.col("low") + F.lit(1 << (shift + DIGIT)))
+        )
+        digit = F.shiftright(F.col("place") - F.col("low"), shift)
+        ranges = inside.groupBy("source", "low", "before", "rest", digit.alias("digit")).agg(
+            F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")
+        )
+        running = F.sum("tokens").over(W.partitionBy("source").orderBy("digit").rowsBetween(W.unboundedPreceding, -1))
+        falls = ranges.withColumn("before", F.col("before") + F.coalesce(running, F.lit(0))).where(
+            (F.col("before") < F.col("rest")) & (F.col("before") + F.col("tokens") >= F.col("rest"))
+        )
+        found = {r["source"]: r for r in falls.collect()}  # one row a source
+        done += [(s, n, 1 << PLACE, 1 << PLACE, n) for s, (_, _, n) in at.items() if s not in found]  # all of it
+        at = {}
+        for s, r in found.items():
+            low = r["low"] + (r["digit"] << shift)
+            if r["n"] <= ORDERED or shift == 0:
+                done.append((s, r["rest"], low, low + (1 << shift), r["before"]))
+            else:
+                at[s] = (low, r["before"], r["rest"])
+    return spark.createDataFrame(done, "source string, rest long, low long, high long, before long")
+
+
 def mix_sources(
     sized: DataFrame, targets: DataFrame, total: float | Callable[[dict, dict], float] | None = None, seed: int = 0
 ) -> tuple[DataFrame, DataFrame]:
@@ -70,7 +109,9 @@ def mix_sources(
     Sources are compared without case and outer white space; documents of a null
     or unlisted source, or with a null id, are left out. Equal targets given twice
     count once (the greatest weight and cap). Documents without tokens are never
-    taken. Empty tables give an empty mix.
+    taken. Rows of one id and source are one document (the greatest size), so that
+    no id goes over ``max_repeats``. Empty tables give an empty mix. More than
+    MAX_SOURCES targets are refused.
     """
     name = F.lower(strip(F.col("source")))
     wanted = targets.select(name.alias("source"), "weight", "max_repeats").where("source is not null")
@@ -78,15 +119,13 @@ def mix_sources(
     rows = wanted.limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} target sources")
-    place = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 64 - PLACE)
     docs = cut(
         sized.select("doc_id", name.alias("source"), F.col("tokens").cast("long").alias("tokens"))
         .where(F.col("doc_id").isNotNull() & (F.col("tokens") > 0) & F.col("source").isin([r["source"] for r in rows]))
-        .withColumns({"place": place, "range": F.pmod(place, F.lit(RANGES)).cast("int")})
-    )
-    # At most RANGES rows a source leave the map side, however large the source.
-    ranges = cut(docs.groupBy("source", "range").agg(F.sum("tokens").alias("tokens")))
-    sizes = {r["source"]: r["t"] for r in ranges.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+        .groupBy("doc_id", "source").agg(F.max("tokens").alias("tokens")).withColumn("place", place)
+    )
+    sizes = {r["source"]: r["t"] for r in docs.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
     weights = {r["source"]: float(r["weight"] or 0) for r in rows}
     caps = {r["source"]: float(sizes.get(r["source"], 0) * max(r["cap"] or 0, 0)) for r in rows}
     asked = (total or largest_true_mix)(weights, caps) if total is None or callable(total) else float(total)
@@ -102,33 +141,16 @@ def mix_sources(
         plan, "source string, weight double, max_repeats int, available long, target double, whole int, rest long"
     )
     small = F.broadcast(plan_df)  # at most MAX_SOURCES rows, checked above
-    running = F.sum("tokens").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1))
-    bounds = (
-        ranges.withColumn("before", F.coalesce(running, F.lit(0)))
-        .join(small.select("source", "rest"), "source")
-        .withColumn("fate", F.when(F.col("before") + F.col("tokens") <= F.col("rest"), 1)
-                    .when(F.col("before") < F.col("rest"), 0).otherwise(-1))
-    )
-    edge = F.broadcast(bounds.where("fate = 0").select("source", "range", "before", "rest"))  # one row a source
-    last = F.broadcast(
-        bounds.where("fate = 1").groupBy("source").agg(F.max("range").alias("upto"))
-    )  # one row a source
-    # Only the range in which the target falls is ordered by document.
-    inside = docs.join(edge, ["source", "range"]).withColumn(
-        "until",
-        F.col("before") + F.sum("tokens").over(
-            W.partitionBy("source").orderBy("place", "doc_id").rowsBetween(W.unboundedPreceding, 0)),
-    )
-    # The document on the border is taken if that comes nearer to the target.
-    drawn = inside.where((F.col("until") - F.col("tokens") / 2) <= F.col("rest"))
-    extra = docs.join(last, "source").where("range <= upto").select("doc_id", "source", "tokens").unionByName(
-        drawn.select("doc_id", "source", "tokens")
-    )
-    often = docs.join(small.where("whole > 0").select("source", "whole"), "source").select(
-        "doc_id", "source", "tokens", F.col("whole").alias("repeats")
-    )
-    mix = often.unionByName(extra.withColumn("repeats", F.lit(1)))
-    mix = mix.groupBy("doc_id", "source").agg(F.max("tokens").alias("tokens"), F.sum("repeats").cast("int").alias("repeats"))
+    edge = F.broadcast(_borders(docs, {p[0]: p[6] for p in plan}))  # one row a source
+    known = docs.join(small.select("source", "whole"), "source").join(edge, "source", "left")
+    # Only the range in which the target falls is ordered by document. The one on the border is taken if that comes nearer.
+    order = W.partitionBy("source").orderBy("place", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    inside = known.where("place >= low and place < high").withColumn("until", F.col("before") + F.sum("tokens").over(order))
+    part = F.when(F.col("until") - F.col("tokens") / 2 <= F.col("rest"), 1).otherwise(0)
+    outside = known.where("low is null or place < low or place >= high")
+    below = F.when(F.col("place") < F.col("low"), 1).otherwise(0)
+    columns = lambda extra: ["doc_id", "source", "tokens", (F.col("whole") + F.coalesce(extra, F.lit(0))).cast("int").alias("repeats")]
+    mix = outside.select(*columns(below)).unionByName(inside.select(*columns(part))).where("repeats > 0")
     got = mix.groupBy("source").agg(
         F.sum(F.col("tokens") * F.col("repeats")).alias("actual"), F.max("repeats").alias("most_repeats")
     )

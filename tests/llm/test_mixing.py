@@ -55,3 +55,22 @@ def test_excess_is_shared_out_over_whole_tables(spark):
     assert clamped and taking and len(clamped) + len(taking) == len(rows)
     assert all(r["target_tokens"] > total * r["weight"] / weights for r in taking)
     assert len({round(r["target_tokens"] / r["weight"]) for r in taking}) == 1
+
+
+def test_border_ranges_are_split_until_they_are_small(spark, monkeypatch):
+    from logweave.llm import mixing
+
+    rnd = random.Random(5)
+    sized = spark.createDataFrame([(i, rnd.choice("aab"), rnd.randint(1, 30), "x") for i in range(6000)], SIZED)
+    targets = spark.createDataFrame([("a", 0.7, 2, ""), ("b", 0.3, 2, "")], TARGETS)
+    once = sorted(map(tuple, mix_sources(sized, targets, 70_000.0)[0].collect()))
+    for ordered, digit in ((0, 12), (2, 4), (10_000, 60)):
+        monkeypatch.setattr(mixing, "ORDERED", ordered)
+        monkeypatch.setattr(mixing, "DIGIT", digit)
+        assert sorted(map(tuple, mix_sources(sized, targets, 70_000.0)[0].collect())) == once
+
+
+def test_repeated_rows_are_one_document(spark):
+    sized = spark.createDataFrame([(1, "a", 10, "x"), (1, "A ", 10, "y"), (1, "a", 7, "x"), (2, "a", 10, None), (None, "a", 9, None)], SIZED)
+    mix, report = mix_sources(sized, spark.createDataFrame([("a", 1.0, 2, "")], TARGETS), 1e6)
+    assert sorted(map(tuple, mix.collect())) == [(1, "a", 10, 2), (2, "a", 10, 2)] and report.collect()[0]["most_repeats"] == 2
