@@ -27,6 +27,7 @@ LENGTH_RATIO, SHARE_GAP, MAGNITUDE_GAP, KEY_OVERLAP = 4.0, 0.5, 1.5, 0.3
 MAX_ALIASES = 10_000
 _PATH = r"^[\w.~@-]*([/\\][\w.~@*-]+)+$"
 _NUMERIC = r"^\s*[+-]?\d+([.,]\d+)?\s*$"
+_KEYS = ("keys0", "keys1", "keys2", "keys3")
 
 
 def _kind(schema: Column) -> Column:
@@ -38,55 +39,63 @@ def _kind(schema: Column) -> Column:
     )
 
 
-def parse_objects(df: DataFrame, raw: str) -> DataFrame:
-    """``df`` with the line as ``__v`` (VARIANT), only lines that are JSON objects."""
-    parsed = df.withColumn("__v", parse_line(F.col(raw)))
-    return parsed.where(is_object(F.col("__v")))
+def _object_map(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "map<string,variant>")
 
 
 def _exploded(df: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per field: ``keep`` + (outer, inner, kind, value); inner null at the top."""
-    spark = df.sparkSession
-    top = df.lateralJoin(spark.tvf.variant_explode(F.col("__v").outer())).select(
-        *keep, F.col("key").alias("outer"), F.col("value").alias("value")
-    )
-    top = top.withColumn("schema", F.expr("schema_of_variant(value)"))
-    top = top.withColumn("kind", _kind(F.col("schema"))).where("kind is not null")
-    # Objects keep their own row and give one per inner field: exploded from a one-sided list.
-    inner = (
-        top.where("kind = 'object'")
-        .lateralJoin(spark.tvf.variant_explode(F.col("value").outer()))
-        .toDF(*keep, "outer", "__o", "schema0", "kind0", "pos", "inner", "value")
-        .withColumn("schema", F.expr("schema_of_variant(value)"))
-        .withColumn("kind", _kind(F.col("schema")))
-        .where("kind is not null")
-    )
-    columns = [*keep, "outer", "inner", "kind", "value"]
-    return top.withColumn("inner", F.lit(None).cast("string")).select(*columns).unionByName(
-        inner.select(*columns)
-    )
+    """One row per field: ``keep`` + (outer, inner, kind, value); inner null at the top.
+
+    A line is parsed once and gives its outer and inner fields in one pass. A line
+    without fields gives one row of nulls, so that its file is known.
+    """
+    def field(name, value):
+        return F.struct(name.alias("inner"), _kind(F.schema_of_variant(value)).alias("kind"), value.alias("value"))
+
+    top = df.select(*keep, F.explode_outer(F.map_entries(_object_map(F.col("__v")))).alias("e"))
+    top = top.select(*keep, F.col("e.key").alias("outer"), F.col("e.value").alias("value"))
+    top = top.withColumn("kind", _kind(F.schema_of_variant("value")))
+    inner = F.transform(F.map_entries(_object_map(F.col("value"))), lambda e: field(e["key"], e["value"]))
+    itself = F.array(F.struct(F.lit(None).cast("string").alias("inner"), F.col("kind"), F.col("value")))
+    every = F.when(F.col("kind") == "object", F.concat(itself, inner)).otherwise(itself)
+    out = top.select(*keep, "outer", F.explode(every).alias("f")).select(*keep, "outer", "f.*")
+    return out.where("kind is not null or outer is null")
 
 
 def profile_fields(df: DataFrame, raw: str, project: str, file_no: str) -> DataFrame:
-    """Per (project, file_no, outer, inner, kind): how often and what the content looks like."""
-    base = parse_objects(
-        df.select(F.col(project).alias("project"), F.col(file_no).alias("file_no"), F.col(raw).alias("raw"))
-        .where("project is not null and file_no is not null"),
-        "raw",
-    )
-    text = F.expr("cast(value as string)")
-    fields = _exploded(base, ["project", "file_no"]).withColumn("text", text)
-    share = lambda c: F.sum(c.cast("int"))
-    number = F.when(F.col("kind") == "number", F.expr("try_cast(text as double)"))
+    """Per (project, file_no, outer, inner, kind): how often and what the content looks like.
+
+    All figures are of fixed width: sums, and for the names inside objects four
+    words of bits, one bit a name by its hash, so that an object whose names are
+    data costs no more than another. Of each file one row without ``outer`` may remain.
+    """
+    base = df.select(
+        F.col(project).alias("project"), F.col(file_no).alias("file_no"), parse_line(F.col(raw)).alias("__v")
+    ).where("project is not null and file_no is not null")
+    fields = _exploded(base, ["project", "file_no"])
+    kind = F.col("kind")
+    fields = fields.withColumns({
+        "text": F.when(kind != "object", F.col("value").cast("string")),
+        "hashes": F.when(kind == "object", F.transform(F.map_keys(_object_map(F.col("value"))), lambda k: F.xxhash64(k))),
+    })
+    text = F.col("text")
+    share = lambda c: F.sum(F.coalesce(c.cast("int"), F.lit(0)))
+    number = F.when(kind == "number", text.try_cast("double"))
+    slashed = F.contains(text, F.lit("/")) | F.contains(text, F.lit("\\"))
+
+    def bits(i: int) -> Column:
+        mine = F.filter("hashes", lambda h: F.pmod(h, F.lit(len(_KEYS))) == i)
+        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(h, 8), F.lit(64)).cast("int"))
+        return F.bit_or(F.aggregate(mine, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseOR(bit(h))))
+
     return fields.groupBy("project", "file_no", "outer", "inner", "kind").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.length("text")).alias("chars"),
-        F.sum(F.size(F.split("text", r"\s+"))).alias("words"),
-        share(F.col("text").rlike(_PATH)).alias("paths"),
-        share(F.col("text").rlike(_NUMERIC)).alias("numeric"),
+        F.sum(F.length(text)).alias("chars"),
+        F.sum(F.length(text) - F.length(F.translate(text, " \t\r\n", "")) + 1).alias("words"),
+        share(slashed & text.rlike(_PATH)).alias("paths"),
+        share(text.rlike(_NUMERIC)).alias("numeric"),
         F.sum(F.log10(F.abs(number) + 1)).alias("magnitude"),
-        F.array_distinct(F.flatten(F.collect_set(
-            F.when(F.col("kind") == "object", F.expr("json_object_keys(text)"))))).alias("keys"),
+        *[F.coalesce(bits(i), F.lit(0).cast("long")).alias(k) for i, k in enumerate(_KEYS)],
     )
 
 
@@ -97,7 +106,7 @@ def _fused(profiles: DataFrame) -> DataFrame:
         F.struct(
             *[(F.sum(c) / F.sum("n")).alias(c) for c in ("chars", "words", "paths", "numeric")],
             (F.sum("magnitude") / F.sum(F.when(F.col("kind") == "number", F.col("n")))).alias("magnitude"),
-            F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"),
+            *[F.bit_or(k).alias(k) for k in _KEYS],
         ).alias("look"),
     )
 
@@ -113,7 +122,8 @@ def _distance(kind: Column, a: Column, b: Column) -> Column:
     text_ok &= (gap("paths") <= SHARE_GAP) & (gap("numeric") <= SHARE_GAP)
     text = F.when(text_ok, ratio("chars") + ratio("words") + gap("paths") + gap("numeric"))
     number = F.when(gap("magnitude") <= MAGNITUDE_GAP, gap("magnitude"))
-    both, either = F.size(F.array_intersect(a["keys"], b["keys"])), F.size(F.array_union(a["keys"], b["keys"]))
+    both = sum((F.bit_count(a[k].bitwiseAND(b[k])) for k in _KEYS), F.lit(0))
+    either = sum((F.bit_count(a[k].bitwiseOR(b[k])) for k in _KEYS), F.lit(0))
     overlap = F.when(either == 0, 1.0).otherwise(both / either)
     keys = F.when(overlap >= KEY_OVERLAP, 1 - overlap)
     return (
@@ -122,13 +132,9 @@ def _distance(kind: Column, a: Column, b: Column) -> Column:
     )
 
 
-def _versions(df: DataFrame, project: str, file_no: str) -> DataFrame:
+def _versions(files: DataFrame) -> DataFrame:
     """``(project, file_no, prev)``: each file with the next lower number present."""
-    files = (
-        df.select(F.col(project).alias("project"), F.col(file_no).alias("file_no"))
-        .where("project is not null and file_no is not null")
-        .distinct()
-    )
+    files = files.select("project", "file_no").distinct()
     order = W.partitionBy("project").orderBy("file_no")
     return files.withColumn("prev", F.lag("file_no").over(order)).where("prev is not null")
 
@@ -216,8 +222,8 @@ def field_model(
     df: DataFrame, raw: str, project: str, file_no: str, tracked: tuple[str, ...]
 ) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, str]]:
     """``(fields, versions, top, aliases)`` shared by the report and the table."""
-    fields = cut(_fused(profile_fields(df, raw, project, file_no)))
-    versions = cut(_versions(df, project, file_no))
+    profiles = cut(_fused(profile_fields(df, raw, project, file_no)))
+    fields, versions = profiles.where("outer is not null"), cut(_versions(profiles))
     top = fields.where("inner is null").select("project", "file_no", F.col("outer").alias("name"), "kind", "look")
     return fields, versions, top, _aliases(top, versions, tracked)
 
@@ -381,14 +387,13 @@ def consistent_table(
     aliases = _inner_aliases(renamed, inner)
     out = df.select(*keep, parse_line(F.col(raw)).alias("__v"))
     out = out.withColumn("parsed", is_object(F.col("__v")))
+    out = out.withColumn("__m", _object_map(F.col("__v")))
     for name in tracked:
         spellings = [name] + sorted(a for a, c in concept.items() if c == name and a != name)
-        got = F.coalesce(*[
-            F.try_variant_get(F.col("__v"), '$["' + a.replace('"', "") + '"]', "variant") for a in spellings
-        ])
+        got = F.coalesce(*[F.try_element_at("__m", F.lit(a)) for a in spellings])
         out = out.withColumn("__g", F.when(F.col("parsed"), got))
         out = out.withColumn(name, _union_struct(F.col("__g")))
         if name in nested:
             out = out.withColumn(f"{name}_fields", _inner_map(F.col("__g"), aliases.get(name, {})))
         out = out.drop("__g")
-    return out.drop("__v")
+    return out.drop("__v", "__m")

@@ -75,3 +75,19 @@ def test_inner_fields_in_one_table(spark):
     assert set(inner["p", 2, 0]) == {"stdout", "code", "list"} and inner["p", 2, 0]["list"]["branch"] == "array"
     assert inner["q", 1, 1] is None and inner["q", 1, 2] is None and set(inner[None, 1, 0]) == {"stdout", "out"}
     assert set(rows["q", 1, 0]["attachment_fields"]) == {"out"}
+
+
+def test_names_with_quotes_and_objects_whose_names_are_data(spark):
+    many = {f"k{i}": i for i in range(3000)}
+    files = [
+        ("p", 1, [{"type": "user", "attachment": {"all": many, 'a"b': 1}}]),
+        ("p", 2, [{"kind": "user", "attachment": {"every": many, 'a"b': "x"}}]),
+        ("p", 3, [{'k"ind': "user", "attachment": {"every": {"x": 1}}}]),
+    ]
+    assert changes(spark, files) == {
+        ("p", 2, "kind", "renamed"), ("p", 2, "attachment.every", "renamed"), ("p", 2, 'attachment.a"b', "retyped"),
+        ("p", 3, 'k"ind', "renamed"), ("p", 3, 'attachment.a"b', "removed"),
+    }
+    rows = {r["file_no"]: r for r in consistent_table(spark.createDataFrame(rows_of(files), SCHEMA)).collect()}
+    assert [rows[n]["type"]["text"] for n in (1, 2, 3)] == ["user"] * 3
+    assert rows[1]["attachment_fields"]['a"b']["number"] == 1.0
