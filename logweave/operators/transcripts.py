@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.lines import is_object, parse_line
-from logweave.functions.text import iso_seconds, scrub_and_cut
+from logweave.functions.text import command_line, iso_seconds, scrub, scrub_and_cut
 
 # The field of a call's input that says what it is about.
 TARGET_FIELDS = {
     "Read": "file_path", "Write": "file_path", "Edit": "file_path", "MultiEdit": "file_path", "NotebookEdit": "notebook_path",
     "Bash": "command", "PowerShell": "command", "Grep": "pattern", "Glob": "pattern", "WebFetch": "url", "WebSearch": "query",
-    "Task": "description", "Agent": "description", "SendMessage": "to",
+    "Task": "description", "Agent": "description", "SendMessage": "to", "Skill": "skill",
 }
 EDITS = ("Edit", "Write", "MultiEdit", "NotebookEdit")
 
@@ -39,56 +39,72 @@ def entry_table(lines: DataFrame, line: str = "v") -> DataFrame:
     """
     parsed = lines.withColumn("__h", F.xxhash64(line)).withColumn("v", parse_line(F.col(line))).where(is_object(F.col("v")))
     once = parsed.groupBy("transcript_id", "__h", get("$.uuid").alias("uuid")).agg(
-        F.min_by(F.struct("seq", F.to_json("v").alias("j")), "seq").alias("e")
+        F.min_by(F.struct("seq", F.col(line).alias("line")), "seq").alias("e")
     )
-    out = once.select("transcript_id", "uuid", F.col("e.seq").alias("seq"), F.parse_json("e.j").alias("v"))
+    out = once.select("transcript_id", "uuid", "e.seq", "e.line").withColumn("v", parse_line(F.col("line")))
     return out.select(
         "transcript_id", "seq", "uuid", get("$.type").alias("type"), iso_seconds(get("$.timestamp")).alias("at"),
         F.coalesce(F.lower(get("$.isSidechain")) == "true", F.lit(False)).alias("sidechain"), get("$.agentId").alias("agent_id"),
-        get("$.message.id").alias("message_id"), get("$.message.model").alias("model"), "v",
+        get("$.message.id").alias("message_id"), get("$.message.model").alias("model"), "v", "line",
     )
 
 
 def blocks(entries: DataFrame) -> DataFrame:
-    """Blocks of message contents that are arrays of objects: ``..., pos, kind, b``."""
+    """Blocks of message contents that are arrays of objects: ``..., pos, kind, b``.
+
+    ``input_text`` is the input of a call as written, where its tool has no field in TARGET_FIELDS.
+    """
     content = get("$.message.content", "variant")
     arrays = entries.where(F.schema_of_variant(content).startswith("ARRAY"))
-    parts = arrays.select("transcript_id", "seq", "at", "uuid", "sidechain", "agent_id",
+    parts = arrays.select("transcript_id", "seq", "at", "uuid", "sidechain", "agent_id", "line",
                           F.posexplode(get("$.message.content", "array<variant>")).alias("pos", "b"))
-    return parts.where(F.schema_of_variant("b").startswith("OBJECT")).withColumn("kind", get("$.type", column="b"))
+    parts = parts.where(F.schema_of_variant("b").startswith("OBJECT")).withColumn("kind", get("$.type", column="b"))
+    path = F.concat(F.lit("$.message.content["), F.col("pos"), F.lit("].input"))
+    unlisted = (F.col("kind") == "tool_use") & ~F.coalesce(get("$.name", column="b").isin(*TARGET_FIELDS), F.lit(False))
+    raw = F.when(unlisted, F.call_function("get_json_object", F.col("line"), path))
+    return parts.withColumn("input_text", raw).drop("line")
+
+
+def _first_text(value: str, text: str) -> Column:
+    """The first non-empty string among an object's fields, in the order they are written in."""
+    fields = F.try_variant_get(F.col(value), "$", "map<string,variant>")
+    texts = F.transform(F.json_object_keys(text), lambda k: F.try_element_at(fields, k))
+    texts = F.transform(texts, lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
+    return F.get(F.filter(texts, lambda x: x.isNotNull() & (x != "")), F.lit(0))
 
 
-def _first_text(column: str) -> Column:
-    """The first non-empty string among an object's fields, by the order of their names."""
-    fields = F.map_values(F.try_variant_get(F.col(column), "$", "map<string,variant>"))
-    texts = F.transform(fields, lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
-    return F.get(F.filter(texts, lambda x: x.isNotNull() & (x != "")), F.lit(0))
+def block_text(value: Column) -> Column:
+    """Text of a content: a string as it is, of an array the texts of its text blocks, a line each."""
+    kind = F.schema_of_variant(value)
+    parts = F.filter(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.try_variant_get(x, "$.type", "string") == "text")
+    joined = F.array_join(F.transform(parts, lambda x: F.coalesce(F.try_variant_get(x, "$.text", "string"), F.lit(""))), "\n")
+    return F.when(kind == "STRING", F.try_variant_get(value, "$", "string")).when(kind.startswith("ARRAY"), joined)
 
 
-def calls(parts: DataFrame, cut: int = 120) -> DataFrame:
+def calls(parts: DataFrame, cut: int | None = None) -> DataFrame:
     """Tool calls beside the first result that follows them in their transcript.
 
-    ``ok`` is null while there is no result. Targets are redacted, then cut.
+    ``ok`` is null while there is no result. Targets are redacted, and cut if ``cut`` is given.
     """
     uses = parts.where("kind = 'tool_use'").withColumn("input", get("$.input", "variant", "b"))
-    named = F.create_map(*[F.lit(x) for kv in TARGET_FIELDS.items() for x in kv])
     name = get("$.name", column="b")
     known = F.coalesce(*[F.when(name == tool, get(f"$.{field}", column="input")) for tool, field in TARGET_FIELDS.items()])
-    target = F.when(F.element_at(named, name).isNotNull(), known)
+    target = F.coalesce(known, _first_text("input", "input_text"))
     uses = uses.select(
         "transcript_id", "seq", "pos", "at", "sidechain", "agent_id", get("$.id", column="b").alias("tool_use_id"), name.alias("name"),
-        scrub_and_cut(F.coalesce(target, _first_text("input")), cut).alias("target"), "input",
+        (scrub_and_cut(target, cut) if cut else scrub(target)).alias("target"), "input",
     )
     results = parts.where("kind = 'tool_result'").select(
         "transcript_id", get("$.tool_use_id", column="b").alias("tool_use_id"), F.col("seq").alias("result_seq"), F.col("at").alias("result_at"),
-        (~F.coalesce(get("$.is_error", "boolean", "b"), F.lit(False))).alias("ok"), get("$.content", column="b").alias("result"),
+        (~F.coalesce(get("$.is_error", "boolean", "b"), F.lit(False))).alias("ok"), block_text(get("$.content", "variant", "b")).alias("result"),
     )
     keys = ["transcript_id", "tool_use_id"]
     paired = uses.where("tool_use_id is not null").select(*keys, "seq", "pos").join(results, keys).where("result_seq >= seq")
-    first = paired.groupBy(*keys, "seq", "pos").agg(F.min_by(F.struct("result_at", "ok", "result"), "result_seq").alias("r"))
+    first = paired.groupBy(*keys, "seq", "pos").agg(F.min_by(F.struct("result_seq", "result_at", "ok", "result"), "result_seq").alias("r"))
     return uses.join(first, [*keys, "seq", "pos"], "left").select(
-        *uses.columns, F.col("r.result_at").alias("result_at"), F.col("r.ok").alias("ok"), F.col("r.result").alias("result")
-    )
+        *uses.columns, F.col("r.result_seq").alias("result_seq"), F.col("r.result_at").alias("result_at"),
+        F.col("r.ok").alias("ok"), F.col("r.result").alias("result"),
+    )
 
 
 def usage_totals(entries: DataFrame) -> DataFrame:
@@ -203,14 +219,70 @@ def commit_message(command: Column) -> Column:
     return F.when(tail != "", F.substring(first, 1, 120))
 
 
-def commits(entries: DataFrame) -> DataFrame:
-    """Commits recorded by tools: of transcripts that replay the same history the first to record a sha counts."""
-    sha = get("$.toolUseResult.gitOperation.commit.sha")
-    seen = entries.select("transcript_id", "seq", "at", sha.alias("sha"), get("$.toolUseResult.gitOperation.commit.branch").alias("branch"))
-    return seen.where("sha is not null").groupBy("sha").agg(
-        F.min_by(F.struct("transcript_id", "branch", "at"), F.struct(F.coalesce("at", F.lit(1e18)), "transcript_id", "seq")).alias("c"),
+# Fixed value: a commit on a command line, without those that only try.
+COMMITS = r"(?<![\w.\-])git\s+(?:-C\s+\S+\s+)?commit\b(?![^;&|\n]*--dry-run)"
+
+
+def git_operations(entries: DataFrame, tool_calls: DataFrame) -> DataFrame:
+    """``transcript_id, seq, at, tool_use_id, command, op`` of shell calls that worked; ``op`` is what was recorded of git, or null.
+
+    A record belongs to its entry's only tool result.
+    """
+    single = F.size(F.filter(F.coalesce(get("$.message.content", "array<variant>"), F.array().cast("array<variant>")),
+                             lambda b: F.try_variant_get(b, "$.type", "string") == "tool_result")) == 1
+    recorded = entries.where(single & get("$.toolUseResult.gitOperation", "variant").isNotNull()).select(
+        "transcript_id", F.col("seq").alias("result_seq"), get("$.toolUseResult.gitOperation", "variant").alias("op")
+    )
+    shell = tool_calls.where(F.col("name").isin("Bash", "PowerShell") & F.col("ok")).select(
+        "transcript_id", "result_seq", F.col("result_at").alias("at"), "tool_use_id", get("$.command", column="input").alias("command")
+    )
+    return shell.join(recorded, ["transcript_id", "result_seq"], "left").withColumnRenamed("result_seq", "seq")
+
+
+def commits(operations: DataFrame) -> DataFrame:
+    """``key, sha, branch, kind, at, message, transcript_id, transcripts``: each commit once.
+
+    A commit without a recorded sha goes by its tool call. Of transcripts that
+    replay the same history the first to record a commit counts.
+    """
+    sha = get("$.commit.sha", column="op")
+    quiet = sha.isNull() & command_line(F.col("command")).rlike(COMMITS)
+    made = operations.where(sha.isNotNull() | quiet).select(
+        F.coalesce(sha, F.concat(F.lit("tool:"), "tool_use_id")).alias("key"), sha.alias("sha"),
+        F.coalesce(get("$.commit.branch", column="op"), get("$.push.branch", column="op"), F.lit("")).alias("branch"),
+        F.when(quiet, "committed").otherwise(F.coalesce(get("$.commit.kind", column="op"), F.lit(""))).alias("kind"),
+        "at", commit_message(F.col("command")).alias("message"), "transcript_id", "seq",
+    )
+    first = F.struct(F.coalesce("at", F.lit(1e18)), "transcript_id", "seq")
+    return made.groupBy("key").agg(
+        F.min_by(F.struct("sha", "branch", "kind", "at", "message", "transcript_id"), first).alias("c"),
         F.count_distinct("transcript_id").alias("transcripts"),
-    ).select("sha", "c.*", "transcripts")
+    ).select("key", "c.*", "transcripts")
+
+
+def pull_requests(entries: DataFrame, operations: DataFrame) -> DataFrame:
+    """``url, number, repo, action, at, transcript_id``: each safe address once, by its first mention; ``created`` stays."""
+    linked = entries.where("type = 'pr-link'").select(
+        get("$.prUrl").alias("url"), get("$.prNumber", "long").alias("number"), get("$.prRepository").alias("repo"), F.lit("linked").alias("action"),
+        "at", "transcript_id", "seq",
+    )
+    made = operations.where(get("$.pr", "variant", "op").isNotNull()).select(
+        get("$.pr.url", column="op").alias("url"), get("$.pr.number", "long", "op").alias("number"), F.lit(None).cast("string").alias("repo"),
+        F.coalesce(get("$.pr.action", column="op"), F.lit("")).alias("action"), "at", "transcript_id", "seq",
+    )
+    every = linked.unionByName(made).where(F.col("url").rlike(r"^https://[^\s\"'<>]+$"))
+    of_url = F.regexp_extract("url", r"^https://github\.com/([^/]+/[^/]+)/", 1)
+    first = F.struct(F.coalesce("at", F.lit(1e18)), "transcript_id", "seq")
+    return every.groupBy("url").agg(
+        F.min_by(F.struct("number", F.coalesce("repo", of_url).alias("repo"), "action", "at", "transcript_id"), first).alias("p"),
+        F.bool_or(F.col("action") == "created").alias("created"),
+    ).select("url", "p.number", "p.repo", F.when(F.col("created"), "created").otherwise(F.col("p.action")).alias("action"), "p.at", "p.transcript_id")
+
+
+def outcome_counts(operations: DataFrame) -> DataFrame:
+    """``transcript_id, pushes, merges`` of recorded operations."""
+    has = lambda p: get(p, "variant", "op").isNotNull().cast("int")
+    return operations.groupBy("transcript_id").agg(F.sum(has("$.push")).alias("pushes"), F.sum(has("$.branch")).alias("merges"))
 
 
 def context_files(entries: DataFrame) -> DataFrame:
@@ -227,10 +299,30 @@ def context_files(entries: DataFrame) -> DataFrame:
     ).select("transcript_id", "path", "x.*", "first_seq")
 
 
+# Fixed value: what stands in the place of a result that was handed back by a message.
+HANDED_BACK = r"delivered to you as a message from \S+ \(its SubagentHandback call\)"
+
+
 def handbacks(rounds: DataFrame, messages: DataFrame, slack: float = 5.0) -> DataFrame:
-    """Rounds whose result only points elsewhere, filled with the agent's last message until ``slack`` after their end."""
-    pointer = F.col("result").isNull() | ((F.length("result") < 400) & F.col("result").rlike(r"(?i)see (?:above|below|the message)|sent (?:it )?to|handed (?:back|over)"))
-    asked = rounds.where(pointer).select("agent_id", "round_no", "ended_at")
-    met = asked.join(messages, "agent_id").where(F.col("at") <= F.col("ended_at") + slack)
-    best = met.groupBy("agent_id", "round_no").agg(F.max_by("message", "at").alias("handed"))
-    return rounds.join(best, ["agent_id", "round_no"], "left").withColumn("result", F.coalesce("handed", "result")).drop("handed")
+    """Rounds whose result only points to a message, filled with the latest one handed back until ``slack`` after their end.
+
+    ``messages`` is (agent_id, seq, at, message); ``seq`` orders them, and a null time
+    on either side passes. Results that are no pointer stay as they are. Every
+    round meets one row: messages are reduced to running latest ones by a window.
+    """
+    from pyspark.sql import Window as W
+
+    pointer = (F.length("result") < 400) & F.col("result").rlike(HANDED_BACK)
+    asked = rounds.where(pointer).select(
+        "agent_id", "round_no", (F.col("ended_at") + slack).alias("until"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("message")
+    )
+    told = messages.where("agent_id is not null and message <> ''").select(
+        "agent_id", F.lit(None).cast(rounds.schema["round_no"].dataType).alias("round_no"), F.coalesce("at", F.lit(float("-inf"))).alias("until"),
+        "seq", "message",
+    )
+    both = asked.withColumn("until", F.coalesce("until", F.lit(float("inf")))).unionByName(told)
+    order = W.partitionBy("agent_id").orderBy("until", F.col("seq").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    latest = both.withColumn("handed", F.max_by("message", "seq").over(order)).where("seq is null")
+    best = latest.groupBy("agent_id", "round_no").agg(F.max("handed").alias("handed"))
+    filled = F.when(pointer, F.coalesce("handed", "result")).otherwise(F.col("result"))
+    return rounds.join(best, ["agent_id", "round_no"], "left").withColumn("result", filled).drop("handed")

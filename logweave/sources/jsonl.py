@@ -57,26 +57,36 @@ def latest_title(lines: DataFrame) -> DataFrame:
     )
 
 
-# Events a hook may report, and the details kept of each.
+# The events a hook may report, and of each kind the details kept, with the field they come from.
 HOOK_KINDS = {
-    "SessionStart": "session_start", "SessionEnd": "session_end", "Notification": "notification",
-    "PermissionRequest": "permission", "SubagentStop": "agent_stop", "Stop": "stop", "UserPromptSubmit": "prompt",
+    "SessionStart": "session_start", "SessionEnd": "session_end", "SubagentStart": "agent_start", "SubagentStop": "agent_stop",
+    "Notification": "notification", "StopFailure": "error", "Stop": "turn_end",
+}
+HOOK_DETAILS = {
+    "session_start": {"source": "source", "model": "model"}, "session_end": {"reason": "reason"},
+    "agent_stop": {"message": "last_assistant_message"},
+    "notification": {"notification_type": "notification_type", "message": "message"},
+    "error": {"error_type": "error_type", "message": "error_message"},
 }
-HOOK_DETAILS = ("message", "reason", "error_type", "tool_name", "notification_type")
 
 
 def hook_events(lines: DataFrame, cut: int = 500) -> DataFrame:
-    """Known hook events: ``session_id, kind, agent_id, detail``; details are a fixed choice, redacted, then cut."""
+    """Known hook events: ``session_id, kind, agent_id, agent_type, cwd, detail``; details are a fixed choice, redacted, then cut."""
     from logweave.functions.text import scrub
 
     get = lambda p: F.try_variant_get("v", f"$.{p}", "string")
     kinds = F.create_map(*[F.lit(x) for kv in HOOK_KINDS.items() for x in kv])
-    detail = F.map_filter(
-        F.create_map(*[c for k in HOOK_DETAILS for c in (F.lit(k), F.substring(scrub(get(k)), 1, cut))]),
-        lambda _, x: x.isNotNull(),
-    )
+    kind = F.element_at(kinds, get("hook_event_name"))
+
+    def details(fields: dict[str, str]):
+        pairs = [c for name, field in fields.items() for c in (F.lit(name), F.substring(scrub(get(field)), 1, cut))]
+        return F.map_filter(F.create_map(*pairs), lambda _, x: x.isNotNull() & (x != ""))
+
+    detail = F.create_map().cast("map<string,string>")
+    for name, fields in HOOK_DETAILS.items():
+        detail = F.when(kind == name, details(fields)).otherwise(detail)
     out = lines.where("ok").select(
-        get("session_id").alias("session_id"), F.element_at(kinds, get("hook_event_name")).alias("kind"),
-        get("agent_id").alias("agent_id"), detail.alias("detail"),
+        get("session_id").alias("session_id"), kind.alias("kind"), get("agent_id").alias("agent_id"),
+        get("agent_type").alias("agent_type"), get("cwd").alias("cwd"), detail.alias("detail"),
     )
     return out.where("kind is not null and session_id is not null")

@@ -14,10 +14,14 @@ from logweave.functions.lines import parse_line
 from logweave.sources.tail import TailSource
 
 
-def follow(spark: SparkSession, pattern: str, max_bytes: int = 64 << 20) -> DataFrame:
-    """Stream of ``file, generation, at_byte, line, v`` of the whole lines of growing files."""
+def follow(spark: SparkSession, pattern: str, checkpoint: str, max_bytes: int = 64 << 20) -> DataFrame:
+    """Stream of ``file, generation, at_byte, line, v`` of the whole lines of growing files.
+
+    ``checkpoint`` is the checkpoint of the query the stream goes into: a restarted reader finds its generations there.
+    """
     spark.dataSource.register(TailSource)
-    lines = spark.readStream.format("tail_jsonl").option("path", pattern).option("maxBytes", str(max_bytes)).load()
+    source = spark.readStream.format("tail_jsonl").option("path", pattern).option("maxBytes", str(max_bytes))
+    lines = source.option("checkpoint", checkpoint).load()
     return lines.withColumn("v", parse_line(F.col("line")))
 
 
@@ -47,10 +51,15 @@ def recompute_changed(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def windowed_counts(events: DataFrame, at: str, kind: str, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Events of each kind per window; windows close when the watermark has passed them."""
+def windowed_counts(events: DataFrame, at: str, kind: str, width: str = "5 minutes", late: str | None = None) -> DataFrame:
+    """Events of each kind per window.
+
+    Without ``late`` no event is ever dropped: use it with the update mode, counts of a window are given
+    again when a late event changes them. With ``late`` windows close when the watermark has passed them.
+    """
+    timed = events.withWatermark(at, late) if late else events
     return (
-        events.withWatermark(at, late).groupBy(F.window(at, width), kind).agg(F.count(F.lit(1)).alias("n"))
+        timed.groupBy(F.window(at, width), kind).agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("window.start").alias("opened"), kind, "n")
     )
 
