@@ -52,7 +52,7 @@ def entry_table(lines: DataFrame, line: str = "v") -> DataFrame:
 def blocks(entries: DataFrame) -> DataFrame:
     """Blocks of message contents that are arrays of objects: ``..., pos, kind, b``.
 
-    ``input_text`` is the input of a call as written, where its tool has no field in TARGET_FIELDS.
+    ``input_text`` is the input of a call as written, where it lacks the field TARGET_FIELDS names for its tool.
     """
     content = get("$.message.content", "variant")
     arrays = entries.where(F.schema_of_variant(content).startswith("ARRAY"))
@@ -60,11 +60,18 @@ def blocks(entries: DataFrame) -> DataFrame:
                           F.posexplode(get("$.message.content", "array<variant>")).alias("pos", "b"))
     parts = parts.where(F.schema_of_variant("b").startswith("OBJECT")).withColumn("kind", get("$.type", column="b"))
     path = F.concat(F.lit("$.message.content["), F.col("pos"), F.lit("].input"))
-    unlisted = (F.col("kind") == "tool_use") & ~F.coalesce(get("$.name", column="b").isin(*TARGET_FIELDS), F.lit(False))
-    raw = F.when(unlisted, F.call_function("get_json_object", F.col("line"), path))
+    unknown = (F.col("kind") == "tool_use") & _named_target("b").isNull()
+    raw = F.when(unknown, F.call_function("get_json_object", F.col("line"), path))
     return parts.withColumn("input_text", raw).drop("line")
 
 
+def _named_target(block: str) -> Column:
+    """What TARGET_FIELDS says a call is about; null if its input has no such text."""
+    name = get("$.name", column=block)
+    said = [F.when(name == tool, F.nullif(get(f"$.input.{field}", column=block), F.lit(""))) for tool, field in TARGET_FIELDS.items()]
+    return F.coalesce(*said)
+
+
 def _first_text(value: str, text: str) -> Column:
     """The first non-empty string among an object's fields, in the order they are written in."""
     fields = F.try_variant_get(F.col(value), "$", "map<string,variant>")
@@ -88,8 +95,7 @@ def calls(parts: DataFrame, cut: int | None = None) -> DataFrame:
     """
     uses = parts.where("kind = 'tool_use'").withColumn("input", get("$.input", "variant", "b"))
     name = get("$.name", column="b")
-    known = F.coalesce(*[F.when(name == tool, get(f"$.{field}", column="input")) for tool, field in TARGET_FIELDS.items()])
-    target = F.coalesce(known, _first_text("input", "input_text"))
+    target = F.coalesce(_named_target("b"), _first_text("input", "input_text"))
     uses = uses.select(
         "transcript_id", "seq", "pos", "at", "sidechain", "agent_id", get("$.id", column="b").alias("tool_use_id"), name.alias("name"),
         (scrub_and_cut(target, cut) if cut else scrub(target)).alias("target"), "input",
@@ -281,7 +287,7 @@ def pull_requests(entries: DataFrame, operations: DataFrame) -> DataFrame:
 
 def outcome_counts(operations: DataFrame) -> DataFrame:
     """``transcript_id, pushes, merges`` of recorded operations."""
-    has = lambda p: get(p, "variant", "op").isNotNull().cast("int")
+    has = lambda p: F.coalesce(get(p, "variant", "op").isNotNull().cast("int"), F.lit(0))
     return operations.groupBy("transcript_id").agg(F.sum(has("$.push")).alias("pushes"), F.sum(has("$.branch")).alias("merges"))
 
 

@@ -90,8 +90,8 @@ def write_conflicts(spark, d):
     return lineage.write_conflicts(_touches(spark, d), ["session_id"], "transcript_id", "path", _writes())
 
 
-def message_edges(spark, d):
-    """Messages from each transcript to each recipient it names."""
+def messages_sent(spark, d):
+    """Messages from each transcript to each recipient it names, known or not."""
     sent = calls(spark, d).where("tool = 'sendmessage'").select(
         "session_id", F.col("transcript_id").alias("src"), canonical_text(F.col("target")).alias("dst")
     )
@@ -151,20 +151,8 @@ def rereads(spark, d):
 
 
 def call_classes(spark, d):
-    kind = T.call_class(F.trim("name"), F.trim("target"))
-    return calls(spark, d).groupBy(kind.alias("class")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def verification(spark, d):
-    """What followed the last edit of each transcript: a check that worked, failed, or none."""
-    c = calls(spark, d).withColumn("kind", F.lower("role"))
-    edit = c.where("kind = 'edit'").groupBy("transcript_id").agg(F.max("seq").alias("edited"))
-    later = c.where("kind in ('check', 'run')").join(edit, "transcript_id", "right")
-    last = later.groupBy("transcript_id").agg(
-        F.max_by(F.coalesce("ok", F.lit(True)), F.when(F.col("seq") > F.col("edited"), F.col("seq"))).alias("ok")
-    )
-    state = F.when(F.col("ok").isNull(), "unchecked").when(F.col("ok"), "checked").otherwise("failing")
-    return last.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("transcripts"))
+    kind = T.call_class(F.initcap("tool"), F.trim("target"))
+    return calls(spark, d).groupBy(kind["kind"].alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def search_all_terms(spark, d):
@@ -199,8 +187,8 @@ def next_check_after_edit(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     tool_mix, tool_buckets, busiest_agent, call_outcomes, files_touched, contended_files, artifact_edges, hub_files,
-    write_conflicts, message_edges, identity_hashes, trailing_repeat, two_cycle, retry_chains, stuck_calls,
-    failure_stalls, errors_by_tool, rereads, call_classes, verification, search_all_terms, search_failed_only,
+    write_conflicts, messages_sent, identity_hashes, trailing_repeat, two_cycle, retry_chains, stuck_calls,
+    failure_stalls, errors_by_tool, rereads, call_classes, search_all_terms, search_failed_only,
     spelling_clusters, alert_edges, next_check_after_edit,
 )}
 
@@ -246,7 +234,7 @@ ORACLES = {
         GROUP BY 1, 2 HAVING count(*) FILTER (tool <> 'read') = 0 AND reads > 3""",
     "write_conflicts": _C + """SELECT session_id, path, count(DISTINCT transcript_id) AS writers, count(*) AS write_count FROM c
         WHERE tool IN ('write','edit') AND path IS NOT NULL GROUP BY 1, 2 HAVING writers > 1""",
-    "message_edges": _C + """SELECT session_id, transcript_id AS src, path AS dst, count(*) AS messages FROM c
+    "messages_sent": _C + """SELECT session_id, transcript_id AS src, path AS dst, count(*) AS messages FROM c
         WHERE tool = 'sendmessage' AND path IS NOT NULL GROUP BY 1, 2, 3""",
     "identity_hashes": _C + """SELECT tool, count(*) FILTER (substr(sha1(target), 1, 16) = same_hash) AS equal,
         count(*) FILTER (substr(sha1(target), 1, 16) <> same_hash) AS other, count(*) FILTER (same_hash IS NULL) AS unknown
@@ -281,10 +269,6 @@ ORACLES = {
     "rereads": _C + """, r AS (SELECT *, lag(same_hash) OVER (PARTITION BY transcript_id, path ORDER BY seq) AS ph FROM c
           WHERE tool = 'read' AND target IS NOT NULL)
         SELECT transcript_id, path, count(*) AS rereads FROM r WHERE same_hash = ph GROUP BY 1, 2""",
-    "verification": _C + """, e AS (SELECT transcript_id, max(seq) AS edited FROM c WHERE lower(role) = 'edit' GROUP BY 1),
-        l AS (SELECT e.transcript_id, arg_max(coalesce(c.ok, true), c.seq) FILTER (c.seq > edited) AS ok FROM e
-              LEFT JOIN c ON c.transcript_id = e.transcript_id AND lower(c.role) IN ('check', 'run') GROUP BY 1)
-        SELECT CASE WHEN ok IS NULL THEN 'unchecked' WHEN ok THEN 'checked' ELSE 'failing' END AS state, count(*) AS transcripts FROM l GROUP BY 1""",
     "search_all_terms": _C + """SELECT tool, count(*) AS n FROM c WHERE contains(lower(concat_ws(chr(10), name, target)), 'py')
         AND contains(lower(concat_ws(chr(10), name, target)), 'read') GROUP BY 1""",
     "search_failed_only": _C + """SELECT transcript_id, tool, count(*) AS calls, count(*) AS failed, max(seq) AS latest FROM c WHERE NOT ok

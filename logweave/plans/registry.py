@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from logweave.plans import call_queries, core_problems, session_queries, transcript_queries, usage_queries
+from logweave.plans import call_queries, core_problems, session_queries, state_queries, transcript_queries, usage_queries
 
-_MODULES = (core_problems, call_queries, usage_queries, session_queries, transcript_queries)
+_MODULES = (core_problems, call_queries, usage_queries, session_queries, transcript_queries, state_queries)
 
 
 def queries() -> dict:

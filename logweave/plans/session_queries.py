@@ -41,15 +41,6 @@ def batches(spark, d):
     )
 
 
-def assembled_agents(spark, d):
-    """Agents beside their launches: description and model by the agent's own word, else the launch's."""
-    a = agents(spark, d).select("session_id", "agent_id", "tool_use_id", "description", "model")
-    left = launches(spark, d).select("session_id", "tool_use_id", F.col("description").alias("ld"), F.col("model").alias("lm"), F.unix_micros("launched_at").alias("launched"))
-    return a.join(left, ["session_id", "tool_use_id"], "left").select(
-        "agent_id", F.coalesce("description", "ld").alias("description"), F.coalesce("model", "lm").alias("model"), "launched"
-    )
-
-
 def agent_universe(spark, d):
     """Ids seen in any table, and in how many."""
     known = launches(spark, d).select("session_id", "tool_use_id").distinct()
@@ -85,17 +76,40 @@ def _forward_edges(spark, d):
 
 def rank_columns(spark, d):
     spans, edges = _forward_edges(spark, d)
-    started = spans.select("session_id", F.col("node").alias("n"), "start")
-    e = edges.join(started.toDF("session_id", "src", "ss"), ["session_id", "src"]).join(started.toDF("session_id", "dst", "ds"), ["session_id", "dst"])
-    return graph.rank_columns(spans, e.where("ss < ds"), ["session_id"])
+    return graph.rank_columns(spans, edges, ["session_id"])
+
+
+def _exact_edges(spark, d):
+    """Launches and files written then read, between agents."""
+    from logweave.plans.call_queries import artifact_edges
+
+    files = artifact_edges(spark, d).select("session_id", agent_key(F.col("src")).alias("src"), agent_key(F.col("dst")).alias("dst"))
+    return parent_edges(spark, d).where("src <> 'main'").unionByName(files).distinct()
+
+
+def _critical_chains(spark, d):
+    spans = cut(_forward_edges(spark, d)[0])
+    state = graph.critical_path(spans, _exact_edges(spark, d), ["session_id"])
+    best = state.groupBy("session_id").agg(F.max_by(F.struct("score", "steps", "chain"), F.struct("score", "end", "node")).alias("b"))
+    wall = spans.groupBy("session_id").agg((F.max("end") - F.min("start")).alias("wall"))
+    return best.select("session_id", "b.*").join(wall, "session_id")
 
 
 def critical_path(spark, d):
-    """Score of the best chain of each session, and where it ends."""
+    """Per session the time of the chain of agents that took longest, and its share of the session."""
+    return _critical_chains(spark, d).select("session_id", "score", F.round(F.try_divide("score", "wall"), 6).alias("share"))
+
+
+def critical_agents(spark, d):
+    """The last agents of those chains in order, at most twelve a session, and how long the chains are."""
+    return _critical_chains(spark, d).select("session_id", F.col("steps").cast("long").alias("steps"), F.posexplode("chain").alias("place", "agent_id"))
+
+
+def longest_chain(spark, d):
+    """Per session the greatest sum of durations along its launches."""
     spans, edges = _forward_edges(spark, d)
-    state = graph.critical_path(spans, edges, ["session_id"])
-    best = F.max_by(F.struct("node", "score"), F.struct(F.col("score"), F.col("end"), F.col("node")))
-    return state.groupBy("session_id").agg(best.alias("b")).select("session_id", F.col("b.score").alias("score"))
+    state = graph.critical_path(spans, edges, ["session_id"], whole=True)
+    return state.groupBy("session_id").agg(F.max("score").alias("score"))
 
 
 def handoff_containment(spark, d):
@@ -287,13 +301,6 @@ def notifications(spark, d):
     return b.select("doc_id", F.lower(tag("task-id")).alias("task_id"), F.lower(tag("status")).alias("status"), F.length(tag("result")).alias("result_chars"))
 
 
-def redacted_assignments(spark, d):
-    """Only a made-up line per document, as its SQL has it; the texts themselves are in :func:`redacted_texts`."""
-    line = F.concat(F.lit("password="), F.substring(F.regexp_replace("text", r"[^a-zA-Z]+", ""), 1, 12), F.lit(" then go"))
-    docs = table(spark, d, "documents").where("length(regexp_replace(text, '[^a-zA-Z]+', '')) >= 12")
-    return docs.select("doc_id", T.scrub(line).alias("clean"))
-
-
 def redacted_texts(spark, d):
     """Every document, brief and result without its secrets: the whole text is searched."""
     docs = table(spark, d, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").cast("string").alias("row_key"), F.lit("text").alias("field"), "text")
@@ -313,7 +320,7 @@ def first_lines(spark, d):
 
 
 def stated_objectives(spark, d):
-    a = agents(spark, d).select("agent_id", T.stated_udf("objective")("brief").alias("o"), T.stated_udf("output")("brief").alias("w"))
+    a = agents(spark, d).select("agent_id", T.stated_udf("objective")("brief", "description").alias("o"), T.stated_udf("output")("brief", "description").alias("w"))
     return a.select("agent_id", F.col("o.text").alias("objective"), F.col("o.source").alias("rule"), F.col("w.text").alias("output"), F.col("w.source").alias("output_rule"))
 
 
@@ -358,20 +365,14 @@ def big_results(spark, d):
     return docs.orderBy(F.col("chars").desc(), "doc_id").limit(12).withColumn("tokens", F.floor(F.col("chars") / 4).cast("long"))
 
 
-def length_check(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.groupBy(F.lower(strip(F.col("source"))).alias("source")).agg(
-        F.count_if(F.length("text") == F.col("n_chars")).alias("equal"), F.count_if(F.length("text") != F.col("n_chars")).alias("other"),
-        F.median("n_chars").alias("median_chars"),
-    )
-
-
 def coverage_missing(spark, d):
     """Sources a project has no document of."""
     docs = table(spark, d, "documents").select("project", F.lower(strip(F.col("source"))).alias("source")).where("project is not null and source <> ''").distinct()
-    required = F.broadcast(table(spark, d, "mix_targets").select("source").limit(1000))  # a fixed list
-    every = docs.select("project").distinct().crossJoin(required)  # projects x a fixed list
-    return every.join(docs, ["project", "source"], "left_anti")
+    required = table(spark, d, "mix_targets").select(F.lower(strip(F.col("source"))).alias("source")).where("source <> ''").distinct()
+    wanted = required.agg(F.collect_set("source").alias("wanted"))  # one row, the list of what is required
+    have = docs.groupBy("project").agg(F.collect_set("source").alias("have"))  # no more than there are kinds of source
+    lacking = F.array_except("wanted", "have")
+    return have.crossJoin(wanted).select("project", F.explode(lacking).alias("source"))
 
 
 def export_rows(spark, d):
@@ -393,10 +394,10 @@ def markers(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    run_totals, batches, assembled_agents, agent_universe, parent_edges, hidden_fans, rank_columns, critical_path,
+    run_totals, batches, agent_universe, parent_edges, hidden_fans, rank_columns, critical_path, critical_agents, longest_chain,
     handoff_containment, handoff_edges, concurrency_sweep, round_union, time_split, replay_as_of, slowest_agents, resumed_rounds, step_lookup,
     attention_latest, first_activity_after, wait_intervals, wait_overlap, launches_in_turns, scanned_lines, latest_generation,
-    sessions_recent, entry_times, content_blocks, user_prompts, turn_split, notifications, redacted_assignments, redacted_texts, report_gists,
+    sessions_recent, entry_times, content_blocks, user_prompts, turn_split, notifications, redacted_texts, report_gists,
     first_lines, stated_objectives, search_agents, agent_flags, agents_filtered, fleet_ranking, outcome_dedup, big_results,
-    length_check, coverage_missing, export_rows, markers,
+    coverage_missing, export_rows, markers,
 )}

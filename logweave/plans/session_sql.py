@@ -11,6 +11,14 @@ _SPANS = _R + f""", sp AS (SELECT session_id, {_KEY.format('agent_id')} AS node,
   a AS (SELECT DISTINCT * FROM agents),
   pe AS (SELECT session_id, {_KEY.format('parent_agent_id')} AS src, {_KEY.format('agent_id')} AS dst FROM a
          WHERE {_KEY.format('parent_agent_id')} IS NOT NULL AND {_KEY.format('parent_agent_id')} <> {_KEY.format('agent_id')})"""
+_FILES = (
+    r"array_to_string([CASE WHEN contains(w, '/') THEN array_to_string("
+    r"list_reduce(list_prepend(CASE WHEN starts_with(w, '/') THEN [''] ELSE CAST([] AS VARCHAR[]) END, "
+    r"[[x] FOR x IN string_split(w, '/')]), "
+    r"lambda a, b: CASE WHEN b[1] = '' OR b[1] = '.' THEN a "
+    r"WHEN b[1] = '..' AND len(a) > 0 AND a[-1] NOT IN ('..', '') THEN a[1:len(a) - 1] ELSE list_concat(a, b) END), '/') "
+    r"ELSE w END FOR w IN string_split(replace(trim(regexp_replace(lower(target), '\s+', ' ', 'g')), '\', '/'), ' ')], ' ')"
+)
 _J = """WITH j AS (SELECT *, CASE WHEN json_valid(v) THEN v::JSON END AS o FROM entries),
   p AS (SELECT * FROM j WHERE json_type(o) = 'OBJECT')
 """
@@ -30,14 +38,36 @@ ORACLES = {
         FROM a LEFT JOIN t ON a.session_id = t.session_id GROUP BY 1""",
     "batches": _A + """SELECT session_id, turn_uuid, count(*) AS n, min(tool_use_id) AS first_id, min(epoch_us(launched_at)) AS launched
         FROM l WHERE turn_uuid IS NOT NULL GROUP BY 1, 2""",
-    "assembled_agents": _A + """SELECT a.agent_id, coalesce(a.description, l.description) AS description, coalesce(a.model, l.model) AS model,
-        epoch_us(l.launched_at) AS launched FROM a LEFT JOIN l USING (session_id, tool_use_id)""",
     "agent_universe": _A + """, u AS (SELECT agent_id AS id, 'launch' AS src FROM a SEMI JOIN l USING (session_id, tool_use_id)
         UNION SELECT agent_id, 'rounds' FROM rounds UNION SELECT transcript_id, 'calls' FROM tool_calls)
         SELECT id, string_agg(DISTINCT src, ',' ORDER BY src) AS seen_in FROM u WHERE id IS NOT NULL GROUP BY 1""",
     "parent_edges": _PARENTS + " SELECT * FROM pe",
     "hidden_fans": _PARENTS + """, x AS (SELECT * FROM pe UNION SELECT session_id, 'main', dst FROM pe)
         SELECT * FROM x WHERE src = 'main' AND EXISTS (SELECT 1 FROM x y WHERE y.session_id = x.session_id AND y.dst = x.dst AND y.src <> 'main')""",
+    "rank_columns": _SPANS.replace("WITH r AS", "WITH RECURSIVE r AS", 1) + """,
+      e AS (SELECT pe.* FROM pe JOIN sp x ON x.session_id = pe.session_id AND x.node = pe.src JOIN sp y ON y.session_id = pe.session_id AND y.node = pe.dst),
+      up AS (SELECT session_id, node, node AS cur, [node] AS seen, false AS round FROM sp
+             UNION ALL SELECT up.session_id, up.node, e.src, list_append(seen, e.src), list_contains(seen, e.src)
+             FROM up JOIN e ON e.session_id = up.session_id AND e.dst = up.cur WHERE NOT round)
+      SELECT session_id, node, CAST(CASE WHEN bool_or(round) THEN 0 ELSE max(len(seen)) - 1 END AS INT) AS rank FROM up GROUP BY 1, 2""",
+    "longest_chain": _SPANS.replace("WITH r AS", "WITH RECURSIVE r AS", 1) + """,
+      e AS (SELECT pe.session_id, src, dst, y.en - y.st AS own FROM pe JOIN sp x ON x.session_id = pe.session_id AND x.node = pe.src
+            JOIN sp y ON y.session_id = pe.session_id AND y.node = pe.dst WHERE (x.st, x.en, x.node) < (y.st, y.en, y.node)),
+      up AS (SELECT session_id, node, en - st AS score FROM sp
+             UNION ALL SELECT up.session_id, e.dst, up.score + own FROM up JOIN e ON e.session_id = up.session_id AND e.src = up.node)
+      SELECT session_id, max(score) AS score FROM up GROUP BY 1""",
+    "critical_path": _SPANS.replace("WITH r AS", "WITH RECURSIVE r AS", 1) + f""",
+      c AS (SELECT DISTINCT session_id, transcript_id, at_s, lower(trim(name)) AS tool, nullif({_FILES}, '') AS path FROM tool_calls),
+      t AS (SELECT session_id, path, {_KEY.format('transcript_id')} AS ag, min(at_s) FILTER (tool IN ('write', 'edit')) AS wa, max(at_s) FILTER (tool = 'read') AS ra
+            FROM c WHERE path IS NOT NULL AND at_s IS NOT NULL GROUP BY 1, 2, 3),
+      ex AS (SELECT * FROM pe UNION SELECT x.session_id, x.ag, y.ag FROM t x JOIN t y ON x.session_id = y.session_id AND x.path = y.path AND x.ag <> y.ag AND y.ra >= x.wa),
+      e AS (SELECT ex.session_id, src, dst, greatest(0, y.en - greatest(y.st, x.en)) AS gain FROM ex JOIN sp x ON x.session_id = ex.session_id AND x.node = ex.src
+            JOIN sp y ON y.session_id = ex.session_id AND y.node = ex.dst WHERE (x.st, x.en, x.node) < (y.st, y.en, y.node)),
+      best(session_id, node, score) USING KEY (session_id, node) AS (SELECT session_id, node, en - st FROM sp
+             UNION SELECT e.session_id, e.dst, max(b.score + e.gain) FROM best b JOIN e ON e.session_id = b.session_id AND e.src = b.node
+             JOIN recurring.best k ON k.session_id = e.session_id AND k.node = e.dst WHERE b.score + e.gain > k.score GROUP BY 1, 2)
+      SELECT b.session_id, max(score) AS score, round(max(score) / nullif(max(w), 0), 6) AS share FROM best b
+      JOIN (SELECT session_id, max(en) - min(st) AS w FROM sp GROUP BY 1) v ON v.session_id = b.session_id GROUP BY 1""",
     "handoff_containment": _A + _SHINGLES.format(n="ss", c="result") + _SHINGLES.format(n="dd", c="brief") + """,
         z AS (SELECT session_id, t, count(*) AS n FROM ss GROUP BY 1, 2),
         k AS (SELECT ss.session_id, ss.t AS s, dd.t AS d, count(*) AS c FROM ss JOIN dd ON ss.session_id = dd.session_id AND ss.g = dd.g GROUP BY 1, 2, 3)
@@ -106,8 +136,6 @@ ORACLES = {
     "notifications": r"""WITH b AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '(?is)(<task-notification>.*?</task-notification>)', 1)) AS b FROM documents)
         SELECT doc_id, lower(regexp_extract(b, '(?is)<task-id>\s*(.*?)\s*</task-id>', 1)) AS task_id, lower(regexp_extract(b, '(?is)<status>\s*(.*?)\s*</status>', 1)) AS status,
         length(regexp_extract(b, '(?is)<result>\s*(.*?)\s*</result>', 1)) AS result_chars FROM b""",
-    "redacted_assignments": """SELECT doc_id, 'password=[redacted] then go' AS clean FROM documents
-        WHERE length(regexp_replace(text, '[^a-zA-Z]+', '', 'g')) >= 12""",
     "search_agents": _A + """SELECT session_id, count(*) AS n FROM a WHERE contains(lower(concat_ws(chr(10), agent_type, description, brief, result)), 'price')
         AND contains(lower(concat_ws(chr(10), agent_type, description, brief, result)), 'table') GROUP BY 1""",
     "agent_flags": _A + r""", f AS (SELECT agent_id, concat_ws(',', CASE WHEN status = 'failed' THEN 'failed' END,
@@ -123,8 +151,6 @@ ORACLES = {
         FROM n LEFT JOIN k ON k.session_id = n.session_id""",
     "outcome_dedup": "SELECT sha1(text) AS h, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "big_results": "SELECT doc_id, length(text)::INT AS chars, length(text) // 4 AS tokens FROM documents WHERE text IS NOT NULL ORDER BY chars DESC, doc_id LIMIT 12",
-    "length_check": r"""SELECT lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) AS source, count(*) FILTER (length(text) = n_chars) AS equal,
-        count(*) FILTER (length(text) <> n_chars) AS other, median(n_chars) AS median_chars FROM documents GROUP BY 1""",
     "coverage_missing": r"""WITH d AS (SELECT DISTINCT project, lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) AS source FROM documents)
         SELECT p.project, t.source FROM (SELECT DISTINCT project FROM d WHERE project IS NOT NULL AND source <> '') p CROSS JOIN mix_targets t
         WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.project = p.project AND d.source = t.source)""",

@@ -38,10 +38,10 @@ ORACLES = {
     "rebuilt_calls": _E + """, u AS (SELECT transcript_id, seq, b->>'id' AS tool_use_id, b->>'name' AS name, b->'input' AS i FROM b WHERE b->>'type' = 'tool_use'),
         r AS (SELECT transcript_id, b->>'tool_use_id' AS tool_use_id, seq AS rs, NOT coalesce(CAST(b->>'is_error' AS BOOLEAN), false) AS ok FROM b WHERE b->>'type' = 'tool_result')
         SELECT u.transcript_id, u.seq, u.tool_use_id, name,
-          coalesce(CASE WHEN name IN ('Read','Write','Edit','MultiEdit') THEN i->>'file_path' WHEN name = 'NotebookEdit' THEN i->>'notebook_path'
+          coalesce(nullif(CASE WHEN name IN ('Read','Write','Edit','MultiEdit') THEN i->>'file_path' WHEN name = 'NotebookEdit' THEN i->>'notebook_path'
             WHEN name IN ('Bash','PowerShell') THEN i->>'command' WHEN name IN ('Grep','Glob') THEN i->>'pattern' WHEN name = 'WebFetch' THEN i->>'url'
-            WHEN name = 'WebSearch' THEN i->>'query' WHEN name IN ('Task','Agent') THEN i->>'description' WHEN name = 'SendMessage' THEN i->>'to' END,
-            list_filter([json_extract_string(i, '$."' || k || '"') FOR k IN list_sort(json_keys(i)) IF json_type(json_extract(i, '$."' || k || '"')) = 'VARCHAR'], lambda x: x <> '')[1]) AS target,
+            WHEN name = 'WebSearch' THEN i->>'query' WHEN name IN ('Task','Agent') THEN i->>'description' WHEN name = 'SendMessage' THEN i->>'to' WHEN name = 'Skill' THEN i->>'skill' END, ''),
+            list_filter([json_extract_string(i, '$."' || k || '"') FOR k IN json_keys(i) IF json_type(json_extract(i, '$."' || k || '"')) = 'VARCHAR'], lambda x: x <> '')[1]) AS target,
           arg_min(r.ok, r.rs) AS ok
         FROM u LEFT JOIN r ON r.transcript_id = u.transcript_id AND r.tool_use_id = u.tool_use_id AND r.rs >= u.seq GROUP BY 1, 2, 3, 4, 5""",
     "rebuilt_usage": _E + """, u AS (SELECT transcript_id, seq, coalesce(nullif(trim(o->'message'->>'id'), ''), 'line ' || seq) AS message, o->'message'->>'model' AS model,
