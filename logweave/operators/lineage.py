@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logweave.runtime import cut
@@ -53,12 +54,17 @@ def _tokens(text: str) -> Column:
     return F.filter(F.split(F.lower(F.col(text)), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def shingles(df: DataFrame, keep: list[str], text: str, words: int = 8) -> DataFrame:
-    """Distinct word shingles of each text as 64-bit hashes: ``keep, shingle``; words are ``[a-z0-9]+``."""
+def _shingled(df: DataFrame, keep: list[str], text: str, words: int) -> DataFrame:
+    """``keep, grams``: the distinct word shingles of each text of so many words, as 64-bit hashes; words are ``[a-z0-9]+``."""
     base = df.select(*keep, _tokens(text).alias("w")).where(F.size("w") >= words)
     starts = F.sequence(F.lit(1), F.size("w") - words + 1)
     grams = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
-    return base.select(*keep, F.explode(F.array_distinct(grams)).alias("shingle"))
+    return base.select(*keep, F.array_distinct(grams).alias("grams"))
+
+
+def shingles(df: DataFrame, keep: list[str], text: str, words: int = 8) -> DataFrame:
+    """:func:`_shingled`, one row a shingle: ``keep, shingle``."""
+    return _shingled(df, keep, text, words).select(*keep, F.explode("grams").alias("shingle"))
 
 
 def containment(
@@ -72,16 +78,28 @@ def containment(
     shingles or more, and only those pairs are tested, on the words themselves.
 
     Equal texts of a scope are one class (its hash), so copies meet once; join
-    members to classes by the hash of their text. An inverted index on
-    ``(scope, shingle)`` brings classes together; no pair without a common
-    shingle is ever formed.
+    members to classes by the hash of their text. Candidates come from an inverted
+    index on ``(scope, shingle)`` over the rarest shingles only: of a source with
+    ``n`` shingles that must share ``k``, some shared one is among the ``n - k + 1``
+    that the fewest targets of its scope have, so the commonest ``k - 1``, which a
+    boilerplate puts into every text, form no pair. Candidates are then counted
+    exactly on their own shingles.
     """
     s = sources.select(*scope, F.xxhash64(src_text).alias("src_class"), F.col(src_text).alias("t")).where("t is not null").distinct()
     d = targets.select(*scope, F.xxhash64(dst_text).alias("dst_class"), F.col(dst_text).alias("t")).where("t is not null").distinct()
-    a, b = shingles(s, [*scope, "src_class"], "t", words), shingles(d, [*scope, "dst_class"], "t", words)
-    size = a.groupBy(*scope, "src_class").agg(F.count(F.lit(1)).alias("n"))
-    common = a.join(b, [*scope, "shingle"]).groupBy(*scope, "src_class", "dst_class").agg(F.count(F.lit(1)).alias("c"))
-    pairs = common.join(size, [*scope, "src_class"]).withColumn("score", F.col("c") / F.col("n"))
+    a, b = cut(_shingled(s, [*scope, "src_class"], "t", words)), cut(_shingled(d, [*scope, "dst_class"], "t", words))
+    target = b.select(*scope, "dst_class", F.explode("grams").alias("shingle"))
+    spread = target.groupBy(*scope, "shingle").agg(F.count(F.lit(1)).alias("df"))
+    # Of the shingles that no target has none can be shared; they count as the rarest.
+    held = a.select(*scope, "src_class", F.size("grams").alias("n"), F.explode("grams").alias("shingle")).join(spread, [*scope, "shingle"])
+    k = F.greatest(F.lit(1), F.ceil(F.col("n") * least - 1e-9))
+    k = F.least(k, F.lit(run - words + 1)) if run else k
+    commonest = F.row_number().over(W.partitionBy(*scope, "src_class").orderBy(F.col("df").desc(), "shingle"))
+    rare = held.withColumn("place", commonest).where(F.col("place") > k - 1).select(*scope, "src_class", "shingle")
+    asked = rare.join(target, [*scope, "shingle"]).select(*scope, "src_class", "dst_class").distinct()
+    met = asked.join(a.withColumnRenamed("grams", "__a"), [*scope, "src_class"]).join(b.withColumnRenamed("grams", "__b"), [*scope, "dst_class"])
+    common = F.size(F.array_intersect("__a", "__b"))
+    pairs = met.select(*scope, "src_class", "dst_class", common.alias("c"), (common / F.size("__a")).alias("score"))
     columns = [*scope, "src_class", "dst_class", "score"]
     if not run:
         return pairs.where(F.col("score") >= least).select(*columns)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logweave.operators.sweep import running_sums
+
 
 def binned(df: DataFrame, by: list[str], at: str, bins: int) -> DataFrame:
     """``df`` with ``bin`` (0..bins-1) over each entity's own span; the last instant is in the last bin."""
@@ -25,12 +27,15 @@ def cumulative_bins(df: DataFrame, by: list[str], at: str, value: Column, bins:
     return full.withColumn("running", F.sum("total").over(run))
 
 
-def crossing(df: DataFrame, by: list[str], order: list[str], value: Column, limits: dict[str, float]) -> DataFrame:
-    """First ``order[0]`` at which the running total of ``value`` reaches each limit; null if never."""
-    run = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    total = df.withColumn("__run", F.sum(value).over(run))
+def crossing(df: DataFrame, by: list[str], at: str, value: Column, limits: dict[str, float], width: float = 3600.0) -> DataFrame:
+    """First ``at`` at which the running total of ``value`` reaches each limit; null if never.
+
+    Values of one instant count together. Totals are carried over shards of ``width``, so no entity is ordered whole.
+    """
+    sums = df.where(F.col(at).isNotNull()).groupBy(*by, at).agg(F.sum(value).alias("__v"))
+    total = running_sums(sums, by, at, {"__v": "__run"}, width)
     return total.groupBy(*by).agg(
-        *[F.min(F.when(F.col("__run") >= limit, F.col(order[0]))).alias(name) for name, limit in limits.items()]
+        *[F.min(F.when(F.col("__run") >= limit, F.col(at))).alias(name) for name, limit in limits.items()]
     )
 
 

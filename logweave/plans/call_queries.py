@@ -180,7 +180,7 @@ def next_check_after_edit(spark, d):
     c = calls(spark, d).where("at_s is not null")
     edits = c.where(_writes()).select("transcript_id", "seq", "at_s")
     checks = c.where("lower(role) in ('check', 'run')").select("transcript_id", F.col("at_s").alias("checked_at"))
-    return forward_asof(edits, checks, SEQ, "at_s", "checked_at").select(
+    return forward_asof(edits, checks, SEQ, "at_s", "checked_at", width=3600).select(
         "transcript_id", "seq", F.round("next_at", 3).alias("next_at")
     )
 

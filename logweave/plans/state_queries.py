@@ -174,7 +174,7 @@ def rebuilds(m, compactions=None, config: EngineConfig = DEFAULTS):
     back = back.where((F.col("cache_create") >= config.rebuild_tokens) & (F.col("cache_read") < config.rebuild_share * F.col("cache_create")))
     squeezed = F.lit(False)
     if compactions is not None:
-        next_one = forward_asof(back.withColumn("__p", F.col("prev_at_s") - 1e-9), compactions, keys, "__p", "compacted_at")
+        next_one = forward_asof(back.withColumn("__p", F.col("prev_at_s") - 1e-9), compactions, keys, "__p", "compacted_at", width=3600)
         back, squeezed = next_one.drop("__p"), F.coalesce(F.col("next_at") <= F.col("at_s"), F.lit(False))
     idle = F.col("at_s") - F.col("prev_at_s")
     cause = (

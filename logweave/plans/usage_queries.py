@@ -64,7 +64,7 @@ def spend_running_bins(spark, d):
 
 def limit_crossing(spark, d):
     m = messages(spark, d).where("at_s is not null")
-    out = series.crossing(m, ["session_id"], ["at_s", "mid"], F.expr(FRESH), {"warned_at": 8000, "reached_at": 10000})
+    out = series.crossing(m, ["session_id"], "at_s", F.expr(FRESH), {"warned_at": 8000, "reached_at": 10000})
     return out.select("session_id", F.round("warned_at", 3).alias("warned_at"), F.round("reached_at", 3).alias("reached_at"))
 
 
@@ -160,8 +160,12 @@ def session_history(spark, d):
 def compare_sessions(spark, d):
     """Each session against the one before it by time: change and share of messages."""
     m = messages(spark, d).where("at_s is not null").groupBy("session_id").agg(F.min("at_s").alias("at"), F.count(F.lit(1)).alias("n"))
-    back = F.lag("n").over(W.orderBy("at", "session_id"))  # one row a session
-    return m.withColumn("b", back).select(
+    m = m.withColumn("day", F.floor(F.col("at") / 86_400))
+    order = W.partitionBy("day").orderBy("at", "session_id")
+    days = m.groupBy("day").agg(F.max_by("n", F.struct("at", "session_id")).alias("last"))
+    carried = days.select("day", F.lag("last").over(W.orderBy("day")).alias("carried"))  # one row a day
+    m = m.withColumn("own", F.lag("n").over(order)).join(carried, "day").withColumn("b", F.coalesce("own", "carried"))
+    return m.select(
         "session_id", "n", (F.col("n") - F.col("b")).alias("change"), F.round(F.try_divide(F.col("n") - F.col("b"), F.col("b")), 6).alias("pct")
     )
 

@@ -73,17 +73,6 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(fresh, df.sparkSession)
 
 
-def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only if its measured ``rows`` stay under ``limit``;
-    beyond it the join is left to a shuffle (with AQE's skew handling)."""
-    return F.broadcast(df) if rows <= limit else df
-
-
-def blank_to_null(column):
-    """Null for a string that is null or holds only white space."""
-    return F.when(F.length(strip(column)) > 0, column)
-
-
 def strip(column):
     """``column`` without outer white space of any kind (not only blanks)."""
     return F.regexp_replace(column, r"(?U)^\s+|\s+$", "")

@@ -97,7 +97,7 @@ def test_series(spark):
     df = spark.createDataFrame([("a", float(t), v) for t, v in [(0, 1), (5, 2), (10, 4)]] + [("b", 3.0, 7)], "k string, t double, v long")
     got = {(r["k"], r["bin"]): r["running"] for r in series.cumulative_bins(df, ["k"], "t", F.col("v"), 4).collect()}
     assert got[("a", 3)] == 7 and got[("a", 1)] == 1 and got[("a", 2)] == 3 and got[("b", 3)] == 7
-    r = {x["k"]: x for x in series.crossing(df, ["k"], ["t"], F.col("v"), {"x": 3, "y": 100}).collect()}
+    r = {x["k"]: x for x in series.crossing(df, ["k"], "t", F.col("v"), {"x": 3, "y": 100}).collect()}
     assert r["a"]["x"] == 5.0 and r["a"]["y"] is None
     us = df.withColumn("us", F.col("t").cast("long"))
     best = {x["k"]: (x["opened"], x["total"]) for x in series.peak_window(us, ["k"], "us", F.col("v"), 6).collect()}
@@ -232,3 +232,35 @@ def test_whole_texts_are_redacted(spark, tmp_path):
     assert all(r["redacted"] == (r["clean"] != texts[int(r["row_key"])]) for r in rows if r["src"] == "documents")
     assert {(r["row_key"], r["field"], r["clean"]) for r in rows if r["src"] == "agents"} == {
         ("a", "brief", fill + "<redacted:private_key>"), ("b", "result", "secret=<redacted:secret>")}
+
+
+def test_sharded_sequences_equal_plain_ones(spark):
+    import random
+
+    from logweave.operators import asof, sweep
+
+    rnd = random.Random(7)
+    spans = [(rnd.choice("ab"), i, a, a + rnd.choice([0, 1, 5, 60, 900])) for i in range(120) for a in [rnd.randint(-300, 900)]]
+    others = [(rnd.choice("abc"), i, a, a + rnd.choice([1, 7, 50, 2000])) for i in range(80) for a in [rnd.randint(-300, 900)]]
+    left, right = (spark.createDataFrame(x, "k string, i long, s long, e long") for x in (spans, others))
+    want = {}
+    for k, i, s, e in spans:
+        met = [(min(e, e2) - max(s, s2), -j) for k2, j, s2, e2 in others if k2 == k and min(e, e2) > max(s, s2)]
+        if met:
+            want[i] = (-max(met)[1], max(met)[0])
+    for width in (1, 10, 64, 100_000):
+        got = asof.best_overlap(left.withColumnRenamed("i", "x"), right.withColumnRenamed("i", "y"), ["k"], "x", "y", "s", "e", width)
+        assert {r["x"]: (r["y"], r["overlap"]) for r in got.collect()} == want
+    levels = [sorted(map(tuple, sweep.levels(left, ["k"], "s", "e", w).collect())) for w in (7, 10**9)]
+    assert levels[0] == levels[1]
+    after = [sorted(map(tuple, asof.forward_asof(left, right.select("k", F.col("s").alias("t")), ["k"], "e", "t", 2, w).collect())) for w in (9, 10**9)]
+    assert after[0] == after[1] and {r[1]: r[4] for r in after[0]} == {i: min((t for k2, _, t, _ in others if k2 == k and t > e + 2), default=None) for k, i, _, e in spans}
+    opened = right.groupBy("k", F.col("s").alias("o")).agg(F.max("i").alias("n"))
+    windows = [sorted(map(str, asof.window_join(left, opened, ["k"], "s", "o", "n", w).collect())) for w in (9, 10**9)]
+    assert windows[0] == windows[1]
+    cut = sweep.covered_without(left, right, ["k"], "s", "e", 50).collect()
+    for r in cut:
+        inside = {t for k, _, s, e in spans if k == r["k"] for t in range(s, e)}
+        gone = {t for k, _, s, e in others if k == r["k"] for t in range(s, e)}
+        assert (r["kept"], r["cut"]) == (len(inside - gone), len(inside & gone))
+    assert asof.best_overlap(left.limit(0).withColumnRenamed("i", "x"), right.withColumnRenamed("i", "y"), ["k"], "x", "y", "s", "e", 5).count() == 0
