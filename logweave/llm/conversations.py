@@ -116,12 +116,27 @@ _STRETCH = (
 
 
 def _with_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One stretch a conversation and partition: stretches of batches are joined before they leave the worker."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
+    held = None
     for pdf in _stretches(batches):
         pdf.insert(2, "part", np.int32(part))
-        yield pdf
+        if held is not None:
+            before, after = held.iloc[0], pdf.iloc[0]
+            if before["transcript_id"] == after["transcript_id"] and before["is_sidechain"] == after["is_sidechain"]:
+                meets = before["last"] == USER and after["first"] == USER
+                pdf.loc[0, ["serial", "first", "doubled", "odd"]] = [
+                    before["serial"], before["first"], bool(before["doubled"] or after["doubled"] or meets), bool(before["odd"] or after["odd"]),
+                ]
+            else:
+                yield held
+        held = pdf.iloc[[-1]].reset_index(drop=True)
+        if len(pdf) > 1:
+            yield pdf.iloc[:-1]
+    if held is not None:
+        yield held
 
 
 def ordered_messages(entries: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -146,7 +161,7 @@ def conversation_verdicts(entries: DataFrame, partitions: int | None = None) ->
     spoken = entries.where("not blank").withColumn("speaker", _speaker())
     ordered = ordered_messages(spoken, partitions).select("transcript_id", "is_sidechain", "speaker")
     parts = ordered.mapInPandas(_with_part, _STRETCH)
-    # A conversation gives at most one row per batch of a partition that holds some of it.
+    # A conversation gives one row for each partition that holds some of it.
     folded = parts.groupBy("transcript_id", "is_sidechain").agg(
         F.sort_array(F.collect_list(F.struct("part", "serial", "first", "last", "doubled", "odd"))).alias("s")
     )

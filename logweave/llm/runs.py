@@ -5,8 +5,10 @@ both rise by one, so their difference is constant and names the run. An entity
 may hold a third of all rows, so it is cut into shards of ``shard`` consecutive
 order keys: order keys are unique per entity once copies are removed, which
 bounds a shard by its width. Runs are found inside shards; only the first and
-the last run of a shard can go on in a neighbour, and these few are numbered and
-differenced once more per entity.
+the last run of a shard can go on in a neighbour. These are numbered and
+differenced once more inside shards WIDER times as wide, so that sparse keys, of
+which a narrow shard holds one, do not come together in one task either, and what
+touches the ends of those once more per entity.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Consecutive order keys per shard.
 SHARD = 4096
+#: How much wider the shards of the second level are.
+WIDER = 4096
 
 
 def _differences(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -52,44 +56,46 @@ def collapse_runs(
         .groupBy("entity", "k", "seq")
         .agg(F.min("value").alias("value"), F.min("at").alias("at"))
     )
-    lone = F.when(F.col("value").isNull(), F.col("seq"))
-    local = (
-        _differences(events, ["entity", "k"], ["seq"])
-        .groupBy("entity", "k", "value", "__run", lone.alias("lone"))
-        .agg(
-            F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"),
-            F.count(F.lit(1)).alias("n"), F.min("at").alias("started"), F.max("at").alias("ended"),
-        )
+    chain = events.select("entity", "k", "value", F.col("seq").cast("double").alias("place"), F.col("seq").alias("first_seq"), F.col("seq").alias("last_seq"),
+                          F.lit(1).cast("long").alias("n"), F.col("at").alias("started"), F.col("at").alias("ended"))
+    done, chain = _level(chain)
+    wide = F.floor(F.col("place") / F.lit(shard * WIDER)).cast("long")
+    more, chain = _level(chain.withColumn("k", wide))
+    last = _runs(chain.withColumn("k", F.lit(0)), ["entity"]).where("value is not null").select(*COLUMNS)
+    return done.unionByName(more).unionByName(last).withColumn("duration", F.col("ended") - F.col("started"))
+
+
+COLUMNS = ["entity", "value", "first_seq", "last_seq", "n", "started", "ended"]
+
+
+def _runs(chain: DataFrame, by: list[str]) -> DataFrame:
+    """Runs of ``(entity, k, value, place, first_seq, last_seq, n, started, ended)`` inside ``by``; a row without a value is its own."""
+    lone = F.when(F.col("value").isNull(), F.col("place"))
+    return _differences(chain, by, ["place"]).groupBy(*by, "value", "__run", lone.alias("lone")).agg(
+        F.min("place").alias("place"), F.max("place").alias("until"), F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"),
+        F.sum("n").alias("n"), F.min("started").alias("started"), F.max("ended").alias("ended"),
     )
+
+
+def _level(chain: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Finished runs of all shards ``k``, and the chain of those that may go on in a neighbour.
+
+    Between the head and the tail of a shard, and beside events without a value,
+    nothing may join: a row without a value stands there, so that the numbers move on.
+    """
+    local = _runs(chain, ["entity", "k"])
     edge = W.partitionBy("entity", "k")
-    local = local.withColumns({
-        "head": F.col("first_seq") == F.min("first_seq").over(edge),
-        "tail": F.col("last_seq") == F.max("last_seq").over(edge),
-    })
-    columns = ["entity", "value", "first_seq", "last_seq", "n", "started", "ended"]
-    loose = "(head or tail) and value is not null"
-    done = local.where(f"not ({loose})").select(*columns)
-    # Between the head and the tail of a shard, and beside valueless events, nothing may join:
-    # a row without a value stands there, so that the numbers move on.
+    local = local.withColumns({"head": F.col("place") == F.min("place").over(edge), "tail": F.col("until") == F.max("until").over(edge)})
+    # An event without a value, and no other row of a chain, is counted by n.
+    finished = local.where("n is not null and (value is null or not (head or tail))").select(*COLUMNS)
+    ends = local.where("head or tail")
     wall = F.when(
         ~(F.col("head") & F.col("tail")) | F.col("value").isNull(),
-        F.when(F.col("head"), F.col("last_seq") + 0.5).otherwise(F.col("first_seq") - 0.5),
+        F.when(F.col("head"), F.col("until") + F.lit(0.5)).otherwise(F.col("place") - F.lit(0.5)),
     )
-    ends = local.where("head or tail")
-    walls = ends.where(wall.isNotNull()).select(
-        "entity", F.lit(None).cast("string").alias("value"), wall.alias("place"),
-        *[F.lit(None).cast(t).alias(c) for c, t in
-          (("first_seq", "long"), ("last_seq", "long"), ("n", "long"), ("started", "double"), ("ended", "double"))],
-    )
-    chain = ends.where("value is not null").withColumn("place", F.col("first_seq").cast("double"))
-    chain = chain.select("entity", "value", "place", *columns[2:]).unionByName(walls)
-    stitched = (
-        _differences(chain, ["entity"], ["place"]).where("value is not null")
-        .groupBy("entity", "value", "__run")
-        .agg(
-            F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"),
-            F.sum("n").alias("n"), F.min("started").alias("started"), F.max("ended").alias("ended"),
-        )
-        .select(*columns)
-    )
-    return done.unionByName(stitched).withColumn("duration", F.col("ended") - F.col("started"))
+    # A wall that is at an end of a wider shard stays where it is.
+    wall = F.when(F.col("value").isNull() & F.col("n").isNull(), F.col("place")).otherwise(wall)
+    nothing = [F.lit(None).cast(chain.schema[c].dataType).alias(c) for c in COLUMNS[1:]]
+    walls = ends.where(wall.isNotNull()).select("entity", nothing[0], wall.alias("place"), *nothing[1:])
+    runs = ends.where("value is not null").select("entity", "value", "place", *COLUMNS[2:])
+    return finished, runs.unionByName(walls)

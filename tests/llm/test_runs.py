@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweave.functions.paths import canonical_text
+from logweave.llm import runs
 from logweave.llm.runs import collapse_runs
 
 SCHEMA = "t string, seq long, v string, at double, entity string, value string"
@@ -31,8 +32,9 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("seed,shard", [(1, 3), (2, 1), (3, 4096), (4, 5)])
-def test_against_brute_force(spark, seed, shard):
+@pytest.mark.parametrize("seed,shard,wider", [(1, 3, 4096), (2, 1, 3), (3, 4096, 4096), (4, 5, 2), (5, 2, 4)])
+def test_against_brute_force(spark, monkeypatch, seed, shard, wider):
+    monkeypatch.setattr(runs, "WIDER", wider)
     rnd = random.Random(seed)
     rows = [(rnd.choice(["a", "a", "a", "b", None]), rnd.choice([None, *range(-20, 60)]), rnd.choice(["x", "x", "x", "y", None]),
              rnd.choice([None, rnd.random()]), "e", "w") for _ in range(200)]
