@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Where a path has an empty, ``.`` or ``..`` step or a slash at its end; all others are as they should be.
+_FOLDS = r"//|/\.|(?:^| )\./|/(?: |$)"
+
+
 def canonical_text(column: Column) -> Column:
     """Lower case, white space collapsed, and every path in one spelling.
 
@@ -16,7 +20,7 @@ def canonical_text(column: Column) -> Column:
     flat = F.trim(F.regexp_replace(F.lower(column), r"(?U)\s+", " "))
     word = lambda w: F.when(F.instr(w, "/") > 0, canonical_path(w)).otherwise(w)
     slashed = F.translate(flat, "\\", "/")
-    text = F.when(F.instr(slashed, "/") == 0, slashed).otherwise(
+    text = F.when(~slashed.rlike(_FOLDS), slashed).otherwise(
         F.array_join(F.transform(F.split(slashed, " "), word), " ")
     )
     return F.when(F.length(text) > 0, text)
