@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logweave.operators import search as _search
 from logweave.operators.sweep import state_at
-from logweave.plans import registry, session_queries
+from logweave.plans import call_queries, registry, session_queries
 from logweave.sources.sinks import json_documents, write_csv
 
 
@@ -38,6 +38,14 @@ class Engine:
     def compare(self) -> DataFrame:
         return self.insight("compare_sessions")
 
+    def calls(self, query: str = "", failed_only: bool = False, limit: int = 300) -> DataFrame:
+        """Calls that hold every word of ``query``, alike ones together; without words only the failed ones may be asked for."""
+        rows = call_queries.calls(self.spark, self.folder)
+        return _search.search_calls(rows, ["name", "target"], query, ["transcript_id", "tool"], "seq", "ok", limit, failed_only=failed_only)
+
+    def status(self) -> DataFrame:
+        return self.insight("agent_status")
+
     def state_at(self, micros: int) -> DataFrame:
         return state_at(session_queries.rounds(self.spark, self.folder).where("s is not null"), "s", "e", F.lit(micros))
 
